@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import SegmentHash, blocks, text_of, utf8
+from .words import sliding_min
 
 #: Bytes of a feature, positions among which the rarest one is sought, and how often a
 #: feature must be the rarest to be selected.
@@ -21,28 +22,54 @@ BITS, HASHES, CAPACITY = 2048, 5, 160
 LEAST = 3
 #: Entropy is cut into so many steps.
 STEPS = 1000
-#: Bytes of text whose entropies are counted in one go.
-BLOCK = 1 << 18
+#: Bytes of text whose entropies are counted in one go, and lanes in which that is done.
+BLOCK, LANES = 1 << 21, 4096
 #: Largest table of reference digests, in bytes, that is sent to every task.
 REFERENCE_BYTES = 16 << 20
 
 _C = np.arange(WINDOW + 1, dtype=float)
 #: c * log2(c), scaled so that a window's sum becomes its entropy step.
 _CLOGC = np.where(_C > 0, _C * np.log2(np.maximum(_C, 1)), 0) / WINDOW / np.log2(WINDOW) * STEPS
-_CLOGC = np.rint(_CLOGC * 32).astype(np.uint16)
+_CLOGC = np.rint(_CLOGC * 32).astype(np.int32)
+#: What the sum gains when a count of c becomes c + 1.
+_GAIN = np.diff(_CLOGC)
 
 
 def entropy_steps(data: np.ndarray) -> np.ndarray:
-    """The entropy step, 0 to STEPS, of the window that begins at each byte."""
+    """The entropy step, 0 to STEPS, of the window that begins at each byte.
+
+    The bytes are laid out in lanes that advance together: at each step every lane takes
+    one byte into its window's counts and lets one go, and the sum of c log c follows.
+    """
     n = len(data) - WINDOW + 1
     if n <= 0:
         return np.zeros(0, np.int16)
-    total = np.zeros(n, np.uint16)
-    counts = np.zeros(len(data) + 1, np.int32)
-    for value in np.flatnonzero(np.bincount(data, minlength=256)):
-        np.cumsum(data == value, out=counts[1:])
-        total += _CLOGC[counts[WINDOW:] - counts[:n]]
-    return np.clip(STEPS - (total >> 5).astype(np.int16), 0, STEPS)
+    width = max(256, -(-n // LANES))
+    lanes = -(-n // width)
+    padded = np.zeros(lanes * width + WINDOW, np.uint8)
+    padded[: len(data)] = data
+    # byte t of every lane lies in row t; the index of its count follows
+    at = np.lib.stride_tricks.as_strided(padded, (width + WINDOW - 1, lanes), (1, width)).astype(np.int32)
+    at += np.arange(lanes, dtype=np.int32) * 256
+    counts = np.zeros(lanes * 256, np.int16)
+    total = np.zeros(lanes, np.int32)
+    out = np.empty((width, lanes), np.int16)
+    for t in range(width + WINDOW - 1):
+        if t >= WINDOW:
+            i = at[t - WINDOW]
+            c = counts.take(i) - 1
+            counts[i] = c
+            total -= _GAIN.take(c)
+        i = at[t]
+        c = counts.take(i)
+        total += _GAIN.take(c)
+        c += 1
+        counts[i] = c
+        if t >= WINDOW - 1:
+            out[t - WINDOW + 1] = total >> 5
+    out = np.ascontiguousarray(out.T).ravel()[:n]
+    np.subtract(STEPS, out, out=out)
+    return np.clip(out, 0, STEPS, out=out)
 
 
 def selected(steps: np.ndarray, rank: np.ndarray) -> np.ndarray:
@@ -78,6 +105,45 @@ def digest(data: np.ndarray, rank: np.ndarray, steps: np.ndarray | None = None)
     return np.packbits(filters, axis=1), np.bincount(row, minlength=k).astype(np.int32)
 
 
+def block_digests(data: np.ndarray, offsets: np.ndarray, rank: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """``digest`` of every text of a block of texts that lie end to end, in one go."""
+    n = len(offsets) - 1
+    steps = entropy_steps(data)
+    valid = np.diff(offsets) - WINDOW + 1  # windows of each text
+    long = valid >= SPAN + POPULARITY
+    none = (np.zeros((0, BITS // 8), np.uint8), np.zeros(0, np.int32))
+    out = [none] * n
+    for i in np.flatnonzero((valid > 0) & ~long).tolist():
+        out[i] = digest(data[offsets[i] : offsets[i + 1]], rank, steps[offsets[i] : offsets[i] + valid[i]])
+    if not long.any():
+        return out
+    ranked = rank[steps].astype(np.int64)
+    least = sliding_min((ranked << 32) | np.arange(len(steps)), SPAN)
+    # runs of SPAN windows that lie in one text
+    starts = np.repeat(offsets[:-1][long], valid[long] - SPAN + 1)
+    starts += np.arange(len(starts)) - np.repeat(np.cumsum(valid[long] - SPAN + 1) - (valid[long] - SPAN + 1), valid[long] - SPAN + 1)
+    wins = np.bincount(least[starts] & 0xFFFFFFFF, minlength=len(steps))
+    at = np.flatnonzero((wins >= POPULARITY) & (ranked < rank.max()))
+    hashes = SegmentHash(data)(at, at + WINDOW)
+    text = np.searchsorted(offsets, at, side="right") - 1
+    order = np.lexsort((at, hashes, text))
+    first = np.concatenate(([True], (hashes[order][1:] != hashes[order][:-1]) | (text[order][1:] != text[order][:-1])))[: len(order)]
+    keep = np.sort(order[first])
+    hashes, text = hashes[keep], text[keep]
+    held = np.bincount(text, minlength=n)
+    nth = np.arange(len(text)) - np.repeat(np.cumsum(held) - held, held)
+    chain = -(-held // CAPACITY)
+    base = np.cumsum(chain) - chain
+    row = base[text] + nth // CAPACITY
+    bits = np.zeros((int(chain.sum()), BITS), np.uint8)
+    for i in range(HASHES):
+        bits[row, (hashes >> np.uint64(11 * i)) % np.uint64(BITS)] = 1
+    bits, sizes = np.packbits(bits, axis=1), np.bincount(row, minlength=len(bits)).astype(np.int32)
+    for i in np.flatnonzero(held).tolist():
+        out[i] = bits[base[i] : base[i] + chain[i]], sizes[base[i] : base[i] + chain[i]]
+    return out
+
+
 def _popcount(x: np.ndarray) -> np.ndarray:
     return np.bitwise_count(x.view(np.uint64)).sum(-1, dtype=np.int32)
 
@@ -159,11 +225,8 @@ def fingerprint_documents(docs: DataFrame, references: DataFrame, reference_id:
         for batch in batches:
             data, offsets = utf8(batch.column(1))
             out, features, filters = [], [], []
-            for first, last in blocks(np.diff(offsets), BLOCK):  # entropy is counted by the block, digests are of single texts
-                base = offsets[first]
-                steps = entropy_steps(data[base : offsets[last]])
-                for lo, hi in zip(offsets[first:last].tolist(), offsets[first + 1 : last + 1].tolist()):
-                    bits, n = digest(data[lo:hi], ranks, steps[lo - base : max(lo - base, hi - base - WINDOW + 1)])
+            for first, last in blocks(np.diff(offsets), BLOCK):
+                for bits, n in block_digests(data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first], ranks):
                     out.append(bits.tobytes())
                     features.append(int(n.sum()))
                     filters.append(len(bits))
