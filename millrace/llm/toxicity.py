@@ -16,7 +16,7 @@ from .common import blocks, labelled_sample, logistic
 
 TOKEN = re.compile(r"\w+")
 #: Labelled documents that the field is trained on, at most.
-TRAINING_DOCS = 6000
+TRAINING_DOCS = 3000
 #: A feature of a toxic document marks its tokens when it has such support and log odds.
 SUPPORT, LOG_ODDS = 5, 2.5
 PREFIXES = (4, 5, 6, 7, 8)
