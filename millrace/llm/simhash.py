@@ -15,7 +15,7 @@ from .components import components
 from .words import RunHash, word_hashes
 
 #: Fingerprints of a text, and bits of each.
-TABLES, BITS = 4, 48
+TABLES, BITS = 6, 48
 #: Fingerprints up to RADIUS bits apart meet: each emits what lies within half of it.
 RADIUS = 2
 #: Words in a shingle, and shingles in a sketch, by which colliding pairs are verified.
