@@ -62,8 +62,9 @@ def samples(seed: int = 5, n: int = 6000) -> list[tuple[str, int]]:
 
 @lru_cache(maxsize=1)
 def model(seed: int = 5, n: int = 6000) -> tuple[np.ndarray, float]:
-    """Log-likelihood ratios of character pairs (random against ordinary) and the ratio from
-    which a string counts as random: it lets 1 in 1000 ordinary training samples pass."""
+    """Log-likelihood ratios of character pairs (random against ordinary) and the ratio from which a
+    string counts as random: halfway between the highest of all but 1 in 1000 ordinary samples and the
+    lowest of all but 1 in 1000 random ones."""
     code = {c: i for i, c in enumerate(_ALPHABET)}
     size = len(code) + 1  # the last is the start
     counts = np.full((2, size, size), 0.05)
@@ -73,8 +74,13 @@ def model(seed: int = 5, n: int = 6000) -> tuple[np.ndarray, float]:
         np.add.at(counts[label], (at[:-1], at[1:]), 1)
     logs = np.log(counts / counts.sum(2, keepdims=True))
     ratio = logs[1] - logs[0]
-    ordinary = np.array([score(text, ratio) for text, label in labelled if not label])
-    return ratio, max(0.0, float(np.quantile(ordinary, 0.999)))
+    scores = [np.array([score(bare(text), ratio) for text, label in labelled if label == side]) for side in (0, 1)]
+    return ratio, max(0.0, float(np.quantile(scores[0], 0.999) + np.quantile(scores[1], 0.001)) / 2)
+
+
+def bare(text: str) -> str:
+    """A string without the marks around it, unless there is nothing else."""
+    return text.strip("=-_/+") or text
 
 
 def score(text: str, ratio: np.ndarray) -> float:
@@ -102,7 +108,7 @@ class Scanner:
             if word not in self.seen:
                 if len(self.seen) > 200_000:
                     self.seen.clear()
-                value = score(word.strip("=-_/+") or word, self.ratio)
+                value = score(bare(word), self.ratio)
                 self.seen[word] = value if value > self.least else None
             if (value := self.seen[word]) is not None:
                 out.append((m.start(), word, value))

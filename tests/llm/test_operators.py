@@ -1,0 +1,432 @@
+"""The training-data operators against brute force, and their edge cases."""
+
+import hashlib
+import itertools
+import random
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+from millrace.llm import embeddings, fingerprints, licences, mixing, packing, quality, repeats, secret_scan, simhash, toxicity
+from millrace.llm.components import components
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+WORDS = [a + b for a in "ba be bi bo ka ke ki ko ma me mi mo na ne ni no ta te ti to".split() for b in "lin rok sal ter vun dax".split()]
+
+
+def prose(seed, n):
+    r = random.Random(seed)
+    return " ".join(r.choices(WORDS, k=n))
+
+
+def table(spark, rows, schema=DOCS):
+    return spark.createDataFrame(rows, schema)
+
+
+def documents(spark, texts, source="s"):
+    return table(spark, [(i, t, "en", source, len(t or "")) for i, t in enumerate(texts)])
+
+
+def odd(spark):
+    """Nulls in any column, empty and very long texts, repeated rows, and columns with clashing names."""
+    long = prose(1, 30_000)
+    rows = [
+        (None, None, None, None, None), (1, None, "en", "s", 0), (2, "", "en", None, 0), (3, long, "en", "s", len(long)), (3, long, "en", "s", len(long)), (None, "a b c", "en", "s", 5),
+        (4, "...!!!", None, "s", -4), (5, "x", "en", "t", None), (5, prose(2, 80), "en", "t", 500), (6, "퟿ é ünï　 中文" * 3, "de", "t", 30), (7, prose(2, 80), "en", "t", 500),
+    ]
+    names = ("r", "s", "k", "i", "copy", "digest", "node", "_id", "_s", "h", "m", "label", "score")
+    return table(spark, rows).select("*", *[F.lit(1).alias(n) for n in names])
+
+
+def pairs_of(groups):
+    by = {}
+    for k, g in groups:
+        by.setdefault(g, []).append(k)
+    return {p for v in by.values() for p in itertools.combinations(sorted(v), 2)}
+
+
+# --- 1 ----------------------------------------------------------------------------------------
+
+
+def sample(rows, seed=17):
+    """(doc_id, copy) by one pass over each source; rows are (doc_id, text, source, n_chars)."""
+    sizes = {}
+    for _, _, s, n in rows:
+        sizes[s] = sizes.get(s, 0) + max(n or 0, 0)
+    whole, roots = sum(sizes.values()), sum(np.sqrt(float(z)) for z in sizes.values() if z)
+    out = []
+    for s, z in sizes.items():
+        if not z:
+            continue
+        c = int(np.floor(np.sqrt(float(z)) / roots * 1.0 * whole / z * mixing.UNIT + 0.5))
+        u, total = mixing.random_offset(seed), 0
+        own = sorted((r for r in rows if r[2] == s), key=lambda r: (hashlib.md5(str("" if r[0] is None else r[0]).encode()).hexdigest(), r[0] or 0, r[1] or ""))
+        for r in own:
+            before, total = total, total + c
+            out += [(r[0], k) for k in range((total + u) // mixing.UNIT - (before + u) // mixing.UNIT)]
+    return sorted(out, key=str)
+
+
+def test_mixing_is_systematic(spark):
+    r = random.Random(4)
+    rows = [(i, prose(i, 3), r.choice("aaaab"), r.randint(0, 900)) for i in range(400)]
+    docs = table(spark, [(i, t, "en", s, n) for i, t, s, n in rows])
+    assert sorted(((x.doc_id, x.copy) for x in mixing.mix_sources(docs).collect()), key=str) == sample(rows)
+    half = mixing.mix_sources(docs, {"a": 1.0, "b": 1.0}, epochs=2.0).groupBy("source").agg(F.sum("n_chars").alias("n")).collect()
+    assert len(half) == 2 and abs(half[0].n - half[1].n) < 0.2 * half[0].n
+
+
+def test_mixing_edges(spark):
+    out = mixing.mix_sources(odd(spark))
+    assert out.count() > 0 and out.columns.count("copy") == 1 and "_s" in out.columns
+    assert mixing.mix_sources(documents(spark, ["x"]).limit(0)).count() == 0
+
+
+# --- 2 ----------------------------------------------------------------------------------------
+
+
+def test_entropy_and_ranks_by_brute_force(spark):
+    data = np.frombuffer((prose(3, 60) + "aaaa" * 30).encode(), np.uint8)
+    steps = fingerprints.entropy_steps(data)
+    for i in range(0, len(steps), 7):
+        c = np.bincount(data[i : i + fingerprints.WINDOW])
+        assert steps[i] == np.clip(fingerprints.STEPS - (int(fingerprints._CLOGC[c].sum()) >> 5), 0, fingerprints.STEPS)
+    texts = [prose(i, 40 + i) for i in range(12)] + ["short", "", None]
+    total = np.zeros(fingerprints.STEPS + 1, int)
+    for t in texts:
+        for s in fingerprints.entropy_steps(np.frombuffer((t or "").encode(), np.uint8)):
+            total[s] += 1
+    rank = fingerprints.rarity(documents(spark, texts))
+    seen = [s for s in np.argsort(rank, kind="stable") if total[s] and s]
+    assert [total[s] for s in seen] == sorted(total[s] for s in seen)
+
+
+def test_fingerprints_find_the_nearest_by_brute_force(spark):
+    known = [(i, prose(100 + i, 120)) for i in range(6)]
+    texts = [f"{prose(50 + i, 60)} {t}" for i, t in known] + [prose(900, 150), "", None, "tiny"]
+    docs, refs = documents(spark, texts), table(spark, known, "item_id long, text string")
+    ranks = fingerprints.rarity(docs)
+    out = {r.doc_id: r for r in fingerprints.fingerprint_documents(docs, refs).collect()}
+    for i, t in enumerate(texts):
+        mine = fingerprints.digest(np.frombuffer((t or "").encode(), np.uint8), ranks)
+        scores = {k: fingerprints.overlap(*mine, *fingerprints.digest(np.frombuffer(x.encode(), np.uint8), ranks)) for k, x in known}
+        best = max(scores.values())
+        assert out[i].overlap == pytest.approx(best) and bytes(out[i].digest) == mine[0].tobytes()
+        assert out[i].nearest == (min(k for k, v in scores.items() if v == best) if best else None)
+    assert [out[i].nearest for i in range(6)] == list(range(6))
+    assert out[6].overlap < min(out[i].overlap for i in range(6))
+
+
+def test_fingerprints_edges(spark):
+    refs = table(spark, [(1, prose(2, 80)), (None, "x"), (2, None)], "item_id long, text string")
+    assert fingerprints.fingerprint_documents(odd(spark), refs).count() == 11
+    assert fingerprints.fingerprint_documents(odd(spark), refs.limit(0)).where("nearest IS NOT NULL").count() == 0
+    assert fingerprints.fingerprint_documents(odd(spark).limit(0), refs).count() == 0
+
+
+# --- 3 ----------------------------------------------------------------------------------------
+
+
+def test_packing_round_trip(spark):
+    r = random.Random(2)
+    bits = ["a", "'s", "'ll", " ", "  ", "\n", "\t", "é", "ß", " ", "　", "1", "²", "'", "!", "\U0001f600", "don't", "中", "x're"]
+    texts = ["".join(r.choices(bits, k=r.randint(0, 60))) for _ in range(400)] + [prose(1, 9000)]
+    coder = packing.encoding(f"{packing.TOKENIZERS}/byte_bpe_50k.tiktoken")
+    by = {}
+    for x in packing.pack_documents(documents(spark, texts), longest=256).collect():
+        assert x.length == len(x.tokens) == 1 << x.bucket <= 256
+        by.setdefault(x.doc_id, []).append((x.piece, x.start, list(x.tokens)))
+    for i, t in enumerate(texts):
+        joined = []
+        for n, (piece, start, tokens) in enumerate(sorted(by.get(i, []))):
+            assert (piece, start) == (n, len(joined))
+            joined += tokens
+        assert joined == coder.encode_ordinary(t)
+
+
+def test_packing_edges(spark):
+    assert packing.pieces(13, 4) == [4, 4, 4, 1] and packing.pieces(0, 4) == []
+    assert packing.pack_documents(odd(spark)).where("doc_id = 3").count() > 2
+    assert packing.pack_documents(odd(spark).limit(0)).count() == 0
+    with pytest.raises(ValueError):
+        packing.pack_documents(odd(spark), longest=100)
+
+
+# --- 4 ----------------------------------------------------------------------------------------
+
+
+def test_licences(spark):
+    mit = dict((s, t) for s, t in licences._catalogue() if s == "MIT-0")["MIT-0"]
+    texts = [
+        "Copyright (c) 2019 Someone\n\n" + mit.upper().replace(",", " ;"), f"{prose(1, 30)}\n\n{mit}\n\n{prose(2, 30)}", f"{prose(3, 9)}\nlicenced under the Apache Licence, Version 2.0\n{prose(4, 9)}",
+        "Licensed under the Apache License, Version 2.0 except on Sundays", "", None,
+    ]
+    out = {(r.doc_id, r.license, r.scope) for r in licences.scan_licences(documents(spark, texts)).collect()}
+    assert out == {(0, "MIT-0", "document"), (1, "MIT-0", "paragraph"), (2, "Apache-2.0", "line")}
+
+
+def test_licences_edges(spark):
+    assert licences.scan_licences(odd(spark)).count() == 0
+    twice = documents(spark, ["MIT License", "Licensed under the MIT License"]).unionByName(documents(spark, ["MIT License", "Licensed under the MIT License"]))
+    assert licences.scan_licences(twice).where("doc_id = 1").count() == 1
+
+
+# --- 5 ----------------------------------------------------------------------------------------
+
+
+def test_secret_models_on_held_out_samples():
+    ratio, least = secret_scan.model()
+    held = secret_scan.samples(seed=77, n=1500)
+    right = {y: np.mean([(secret_scan.score(secret_scan.bare(t), ratio) > least) == y for t, z in held if z == y and secret_scan.CANDIDATE.fullmatch(t)]) for y in (0, 1)}
+    assert right[0] > 0.99 and right[1] > 0.9
+
+
+def test_secrets_are_found_and_masked(spark):
+    key = "9f86d081884c7d659a2feaa0c55ad015a3bf4f1b"
+    texts = [f"{prose(1, 20)} token = \"{key}\" {prose(2, 5)}", prose(3, 50), "internationalization_of_organizations_and_people", None, ""]
+    docs = documents(spark, texts)
+    found = secret_scan.scan_secrets(docs).collect()
+    assert [(r.doc_id, r.start, r.length, r.sha256) for r in found] == [(0, texts[0].index(key), 40, hashlib.sha256(key.encode()).hexdigest())]
+    masked = {r.doc_id: r for r in secret_scan.redact_secrets(docs).collect()}
+    assert masked[0].text == texts[0].replace(key, secret_scan.MASK) and masked[0].n_chars == len(masked[0].text)
+    assert [masked[i].text for i in range(1, 5)] == texts[1:]
+
+
+def test_secrets_edges(spark):
+    assert secret_scan.scan_secrets(odd(spark)).count() == 0
+    assert secret_scan.redact_secrets(odd(spark)).count() == 11 and secret_scan.redact_secrets(odd(spark)).columns == odd(spark).columns
+    assert secret_scan.scan_secrets(odd(spark).limit(0)).count() == 0
+
+
+# --- 6 ----------------------------------------------------------------------------------------
+
+
+def test_marginals_by_enumeration():
+    r = np.random.default_rng(1)
+    start, move = np.array([0.8, 0.3]), np.array([[1.5, 0.4], [0.6, 2.0]])
+    sizes = [1, 2, 5, 7, 1, 6]
+    e = r.normal(size=sum(sizes)) * 2
+    first = np.zeros(len(e), bool)
+    first[np.concatenate(([0], np.cumsum(sizes)[:-1]))] = True
+    p, pair = toxicity.Chain(start, move).marginals(e, first)
+    at, want_pair = 0, np.zeros((2, 2))
+    for n in sizes:
+        total, one, both = 0.0, np.zeros(n), np.zeros((2, 2))
+        for s in itertools.product((0, 1), repeat=n):
+            w = start[s[0]] * np.prod([move[a, b] for a, b in zip(s, s[1:])]) * np.exp(sum(e[at + i] for i in range(n) if s[i]))
+            total += w
+            one += w * np.array(s)
+            for a, b in zip(s, s[1:]):
+                both[a, b] += w
+        assert np.allclose(p[at : at + n], one / total)
+        want_pair += both / total
+        at += n
+    assert np.allclose(pair, want_pair)
+
+
+@pytest.fixture(scope="session")
+def labelled(spark):
+    bad = ["fozzle", "grumbix", "snarv"]
+    rows, labels = [], []
+    for i in range(260):
+        words = prose(5000 + i, 60).split()
+        toxic = i % 4 == 0
+        if toxic:
+            for j in (10, 30):
+                words[j] = bad[(i // 4 + j) % 3]
+        rows.append((i, " ".join(words), "en", "s", 400))
+        labels.append((i, int(i % 3 > 0), int(toxic)))
+    return table(spark, rows), table(spark, labels, "doc_id long, quality int, toxic int")
+
+
+def test_toxicity_on_held_out_documents(spark, labelled):
+    docs, labels = labelled
+    fitted = toxicity.fit(docs.where("doc_id < 180"), labels)
+    out = {r.doc_id: r for r in toxicity.score_toxicity(docs.where("doc_id >= 180"), fitted).collect()}
+    right = [out[i].toxic == (i % 4 == 0) for i in range(180, 260)]
+    assert np.mean(right) > 0.95
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    named = {texts[i][s.start : s.end] for i in out for s in out[i].spans if out[i].toxic}
+    assert named <= {"fozzle", "grumbix", "snarv"} and named
+    kept = {r.doc_id for r in toxicity.drop_toxic(docs.where("doc_id >= 180"), fitted).collect()}
+    assert kept == {i for i in out if not out[i].toxic}
+
+
+def test_toxicity_edges(spark, labelled):
+    docs, labels = labelled
+    fitted = toxicity.fit(docs.unionByName(odd(spark).select(*docs.columns)), labels)
+    assert toxicity.score_toxicity(odd(spark), fitted).where("NOT toxic").count() == 11
+    assert toxicity.drop_toxic(odd(spark), fitted).columns == odd(spark).columns
+    none = toxicity.fit(docs.limit(0), labels.limit(0))
+    assert toxicity.score_toxicity(docs, none).where("score > 0").count() == 0
+    assert toxicity.score_toxicity(docs.limit(0), fitted).count() == 0
+
+
+# --- 7 ----------------------------------------------------------------------------------------
+
+
+def copies():
+    """Texts, and the group of each: originals with exact and near copies, and lone ones."""
+    r = random.Random(8)
+    texts, group = [], []
+    for g in range(25):
+        base = prose(700 + g, 200).split()
+        for c in range(1 + g % 5):
+            words = list(base)
+            for _ in range(c and r.randint(0, 6)):
+                words[r.randrange(len(words))] = r.choice(WORDS)
+            texts.append(" ".join(words))
+            group.append(g)
+    return texts, group
+
+
+def test_simhash_variants_meet_exactly_within_the_radius():
+    from millrace.llm.words import word_hashes
+
+    texts, _ = copies()
+    blob = "".join(texts).encode()
+    ends = np.concatenate(([0], np.cumsum([len(t.encode()) for t in texts])))
+    prints = simhash.fingerprints(*word_hashes(np.frombuffer(blob, np.uint8), ends))
+    one = np.array([simhash.fingerprints(*word_hashes(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t)])))[0] for t in texts])
+    assert (prints == one).all()
+    fp = sorted(set(prints[:, 0].tolist()))
+    emitted = sorted((f ^ m, f) for f in fp for m in (0, *(1 << i for i in range(simhash.BITS))))
+    batch = pa.record_batch([pa.array([v for v, _ in emitted]), pa.array([f for _, f in emitted])], names=["v", "a"])
+    met = {(a, b) for x in simhash._pairs(iter([batch])) for a, b in zip(x.column(0).to_pylist(), x.column(1).to_pylist())}
+    assert met == {(a, b) for a, b in itertools.combinations(fp, 2) if (a ^ b).bit_count() <= simhash.RADIUS}
+
+
+def test_near_duplicates_by_brute_force(spark):
+    texts, group = copies()
+    found = pairs_of((r.doc_id, r.group_id) for r in simhash.near_duplicates(documents(spark, texts)).collect())
+    want = pairs_of(enumerate(group))
+    assert found <= want and len(found) >= 0.9 * len(want)
+    kept = [r.doc_id for r in simhash.drop_near_duplicates(documents(spark, texts)).collect()]
+    assert {group[i] for i in kept} == set(group) and len(kept) <= 1.1 * len(set(group))
+
+
+def test_simhash_edges(spark):
+    out = {r.doc_id: r.group_id for r in simhash.near_duplicates(odd(spark)).collect()}
+    assert out == {1: 1, 2: 2, 3: 3, 4: 4, 5: 5, 6: 6, 7: 5}
+    kept = simhash.drop_near_duplicates(odd(spark))
+    assert kept.columns == odd(spark).columns
+    assert sorted(str(r.doc_id) for r in kept.select("doc_id").collect()) == ["1", "2", "3", "4", "5", "6", "None", "None"]
+    assert simhash.near_duplicates(odd(spark).limit(0)).count() == 0
+
+
+# --- 8 ----------------------------------------------------------------------------------------
+
+
+def by_windows(texts, least):
+    """Passages by comparing all windows of all texts."""
+    import re
+
+    words = {i: re.findall(r"(?:[0-9a-z]|[^\x00-\x7f])+", "".join(c.lower() if c.isascii() else c for c in t or "")) for i, t in enumerate(texts)}
+    where = {}
+    for i, w in words.items():
+        for j in range(len(w) - least + 1):
+            where.setdefault(tuple(w[j : j + least]), set()).add(i)
+    out = set()
+    for i, w in words.items():
+        hit = [j for j in range(len(w) - least + 1) if len(where[tuple(w[j : j + least])]) > 1]
+        at = None
+        for j in hit:
+            if at is not None and j <= at[1]:
+                at = (at[0], j + least)
+            else:
+                if at:
+                    out.add((i, *at))
+                at = (j, j + least)
+        if at:
+            out.add((i, *at))
+    return out
+
+
+def test_repeats_by_brute_force(spark):
+    shared = [prose(40 + i, n) for i, n in enumerate((50, 55, 80, 49, 120))]
+    r = random.Random(3)
+    texts = [prose(200 + i, r.randint(0, 60)) + "\n" + r.choice(shared).replace(" ", r.choice((" ", ", ", "\n"))) + " " + prose(400 + i, r.randint(0, 60)) for i in range(40)]
+    texts += [prose(1, 300), prose(1, 300), "Na " * 200, prose(7, 60) + " x " + prose(7, 60), None, "", prose(9, 20)]
+    got = {(x.doc_id, x.start, x.end) for x in repeats.repeated_passages(documents(spark, texts)).collect()}
+    assert got == by_windows(texts, repeats.MIN_WORDS)
+    small = {(x.doc_id, x.start, x.end) for x in repeats.repeated_passages(documents(spark, texts), 20, 4).collect()}
+    assert small == by_windows(texts, 20)
+
+
+def test_repeats_edges(spark):
+    out = {(r.doc_id, r.start, r.end) for r in repeats.repeated_passages(odd(spark)).collect()}
+    assert out == {(5, 0, 80), (7, 0, 80)}  # rows that share an id are one document
+    assert repeats.repeated_passages(odd(spark).limit(0)).count() == 0
+
+
+# --- 9 ----------------------------------------------------------------------------------------
+
+
+def test_quality_on_held_out_documents(spark):
+    rows, labels = [], []
+    for i in range(300):
+        good = i % 3 > 0
+        text = prose(i, 80) + "." if good else " | ".join(w.upper() + "!!" for w in prose(i, 60).split())
+        rows.append((i, text, "en", "s", len(text)))
+        labels.append((i, int(good), 0))
+    docs, labels = table(spark, rows), table(spark, labels, "doc_id long, quality int, toxic int")
+    fitted = quality.fit_quality(docs.where("doc_id < 200"), labels)
+    out = {r.doc_id: r.good for r in quality.score_quality(docs.where("doc_id >= 200"), fitted).collect()}
+    assert np.mean([out[i] == (i % 3 > 0) for i in range(200, 300)]) > 0.95
+    assert quality.score_quality(odd(spark), fitted).count() == 11
+    assert quality.score_quality(odd(spark), fitted).where("doc_id IN (1, 2) AND score = 0").count() == 2
+    none = quality.fit_quality(docs.limit(0), labels.limit(0))
+    assert quality.score_quality(docs, none).where("score <> 0.5").count() == 0
+    assert quality.score_quality(docs.limit(0), fitted).count() == 0
+
+
+# --- 10 ---------------------------------------------------------------------------------------
+
+
+def test_embeddings_by_brute_force(spark):
+    r = np.random.default_rng(5)
+    base = r.normal(size=(220, 24))
+    x = np.concatenate([base, base[:60] + 0.05 * r.normal(size=(60, 24)), np.repeat(base[:1], 300, axis=0), base[5:6] + 0.03 * r.normal(size=(150, 24))]).astype(np.float32)
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    parent = list(range(len(x)))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for a, b in zip(*np.nonzero(np.triu(u @ u.T >= 0.9, 1))):
+        p, q = sorted((root(a), root(b)))
+        parent[q] = p
+    want = pairs_of((i, root(i)) for i in range(len(x)))
+    vectors = table(spark, [(i, v.tolist(), 0) for i, v in enumerate(x)], "vec_id long, embedding array<float>, label int")
+    for local in (20_000, 100):  # with and without splits across the cluster
+        got = pairs_of((y.vec_id, y.group_id) for y in embeddings.near_duplicate_vectors(vectors, leaf=40, local=local).collect())
+        assert got <= want and len(got) >= 0.9 * len(want)
+
+
+def test_embeddings_edges(spark):
+    rows = [(1, [1.0, 0.0], 0), (2, [2.0, 0.0], 0), (3, None, 0), (4, [], 0), (5, [0.0, 0.0], 0), (6, [1.0, None], 0), (7, [float("inf"), 1.0], 0), (None, [1.0, 0.0], 0), (8, [1.0, 0.0, 0.0], 0), (9, [0.0, 1.0], 0), (9, [0.0, 1.0], 0)]
+    vectors = table(spark, rows, "vec_id long, embedding array<float>, label int").select("*", F.lit(1).alias("node"), F.lit(2).alias("id"), F.lit(3).alias("vec"))
+    out = {r.vec_id: r.group_id for r in embeddings.near_duplicate_vectors(vectors).collect()}
+    assert out == {1: 1, 2: 1, 3: 3, 4: 4, 5: 5, 6: 6, 7: 7, 8: 8, 9: 9}
+    assert embeddings.near_duplicate_vectors(vectors.limit(0)).count() == 0
+
+
+def test_components(spark):
+    r = random.Random(6)
+    edges = [(r.randrange(300), r.randrange(300)) for _ in range(220)] + [(None, 1), (7, 7)] + [(1000 + i, 1001 + i) for i in range(60)]
+    parent = {}
+
+    def root(i):
+        while parent.setdefault(i, i) != i:
+            i = parent[i]
+        return i
+
+    for a, b in edges:
+        if a is not None and a != b:
+            p, q = sorted((root(a), root(b)))
+            parent[q] = p
+    assert {x.node: x.root for x in components(table(spark, edges, "a long, b long")).collect()} == {i: root(i) for i in parent}
