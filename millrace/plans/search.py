@@ -6,8 +6,9 @@ import threading
 import time
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
 from ..errors import MillraceError
 from ..functions.text import any_of, case_variants, java_pattern, query_terms, regex_escape, symbol_pattern, tokenize
@@ -63,8 +64,6 @@ def probe_spans(corpus: DataFrame, patterns: list[str], cap: int, ast: bool = Tr
         lists = part if lists is None else lists.unionByName(part)
     if ast:
         lists = widen(lists, corpus, "list")
-    from pyspark.sql import Window
-
     return lists.withColumn("rank", F.row_number().over(Window.partitionBy("list").orderBy(*place())))
 
 
@@ -159,5 +158,5 @@ def hybrid(corpus: DataFrame, query: str, index: VectorIndex | None = None, k: i
     kept = [tuple(r[c] for c in (*SPAN_COLUMNS, "list", "rank")) for rows, _ in lists for r in rows]
     if not kept:
         return PlanResult(empty_spans(spark), stages)
-    schema = empty_spans(spark).schema.add("list", "int").add("rank", "int")
+    schema = empty_spans(spark).schema.add("list", IntegerType()).add("rank", IntegerType())
     return PlanResult(fuse(spark.createDataFrame(kept, schema), k, RRF_K), stages)

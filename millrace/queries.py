@@ -168,15 +168,15 @@ def _probe_sql() -> tuple[str, str]:
 
 
 _P, _U = _probe_sql()
-FUSED = f"{DOCS}, {_P}, f AS (SELECT uri, start, \"end\", min(line_no) AS line_no, min(snippet) AS snippet, sum(1.0 / (60 + rn)) AS score FROM ({_U}) GROUP BY uri, start, \"end\" ORDER BY score DESC, uri, start, \"end\" LIMIT {clamp(8 * TOP, 64, 2000)})"
+FUSED = f"{DOCS}, {_P}, f AS (SELECT uri, start, \"end\", min(line_no) AS line_no, min(snippet) AS snippet, sum(CAST(1 AS DOUBLE) / (60 + rn)) AS score FROM ({_U}) GROUP BY uri, start, \"end\" ORDER BY score DESC, uri, start, \"end\" LIMIT {clamp(8 * TOP, 64, 2000)})"
 _ASCII = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _HAY = _ASCII.format("uri || chr(10) || chr(10) || snippet")
 _OVER = " + ".join(f"CAST(contains({_HAY}, '{t}') AS INTEGER)" for t in TERMS)
-BOOST = f"({_OVER} + CAST(contains({_HAY}, '{QUERY.lower()}') AS INTEGER)) * 0.001"
+BOOST = f"({_OVER} + CAST(contains({_HAY}, '{QUERY.lower()}') AS INTEGER)) * CAST(0.001 AS DOUBLE)"
 FIRST = "left(coalesce(list_filter(string_split({}, chr(10)), lambda v: regexp_replace(v, '\\s+', '', 'g') <> '')[1], ''), {})"
 ANY = f"regexp_matches(line, '(?i){probes(QUERY, TERMS)[0]}')"
 DELEGATE = f"""{DOCS}, h AS (SELECT * FROM l WHERE {ANY} ORDER BY uri, line_no, start LIMIT {clamp(20 * TOP, 64, 2000)}),
-    b AS (SELECT *, 1.0 + {BOOST} AS score, {_OVER} AS o FROM h ORDER BY score DESC, o DESC, uri, line_no, start LIMIT {TOP})"""
+    b AS (SELECT *, CAST(1 AS DOUBLE) + {BOOST} AS score, {_OVER} AS o FROM h ORDER BY score DESC, o DESC, uri, line_no, start LIMIT {TOP})"""
 
 
 # --- chunks ----------------------------------------------------------------------------------
@@ -393,7 +393,7 @@ ORACLES: dict[str, str] = {
     "findings_response": f'WITH {DOCS} SELECT uri, start, "end", {FIRST.format("snippet", 240)} AS snippet FROM l WHERE {_TION}',
     "tokenize": _terms_sql("lower(x)", 3, sorted(PLAN_STOP), PLAN_TERMS, False),
     "query_terms": _terms_sql(_ASCII.format("x"), 2, sorted(SEARCH_STOP), SEARCH_TERMS, True),
-    "lexical_rank": f'WITH {DOCS} SELECT uri, line_no, start, "end", round(1.0 + {BOOST}, 6) AS score, {_OVER} AS term_overlap FROM l WHERE {ANY}',
+    "lexical_rank": f'WITH {DOCS} SELECT uri, line_no, start, "end", round(CAST(1 AS DOUBLE) + {BOOST}, 6) AS score, {_OVER} AS term_overlap FROM l WHERE {ANY}',
     "rrf_fuse": f'WITH {FUSED} SELECT uri, line_no, start, "end", snippet, round(score, 6) AS score FROM f',
     "search_topk": f'WITH {FUSED} SELECT uri, line_no, start, "end", snippet, round(score + {BOOST}, 6) AS score FROM f ORDER BY score + {BOOST} DESC, {_OVER} DESC, uri, line_no, start LIMIT {TOP}',
     "delegate_topk": f"WITH {DELEGATE} SELECT uri, line_no, start, round(score, 6) AS score, {FIRST.format('snippet', 240)} AS snippet FROM b",
@@ -414,7 +414,7 @@ ORACLES: dict[str, str] = {
     ),
     "hybrid_fuse": f"""WITH {DOCS}, {VEC}, g AS (SELECT uri, start, row_number() OVER (ORDER BY uri, line_no, start) AS r FROM l WHERE regexp_matches(line, '(?i){"|".join(TERMS)}') QUALIFY r <= 40),
         w AS (SELECT 'documents/' || doc_id AS uri, CAST(0 AS BIGINT) AS start, rank AS r FROM ({KNN}) WHERE rank <= {TOP} AND query_id = (SELECT min(doc_id) FROM n))
-        SELECT uri, start, round(sum(1.0 / (60 + r)), 6) AS score FROM (SELECT * FROM g UNION ALL SELECT * FROM w) GROUP BY uri, start ORDER BY score DESC, uri, start LIMIT {TOP}""",
+        SELECT uri, start, round(sum(CAST(1 AS DOUBLE) / (60 + r)), 6) AS score FROM (SELECT * FROM g UNION ALL SELECT * FROM w) GROUP BY uri, start ORDER BY score DESC, uri, start LIMIT {TOP}""",
     "ls_glob": "SELECT 'documents/' || doc_id AS key, strlen(text) AS size FROM documents WHERE regexp_matches('documents/' || doc_id, '^documents/.*7$') ORDER BY key LIMIT 1000",
     "read_range": "SELECT 'documents/5' AS uri, CAST(octet_length(encode(text)[11:110]) AS BIGINT) AS bytes, try(decode(encode(text)[11:110])) AS text FROM documents WHERE doc_id = 5",
     "read_all": "SELECT 'documents/' || doc_id AS uri, CAST(octet_length(encode(text)[11:110]) AS BIGINT) AS bytes, try(decode(encode(text)[11:110])) AS text FROM documents",

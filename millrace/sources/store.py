@@ -119,33 +119,29 @@ class Store:
         )
 
     def _files(self, at: str) -> DataFrame:
-        # the reader skips names that begin with a dot or underscore, so they are listed by name
-        frames = [self.spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(at)]
-        hidden = list(self._hidden(self._path(at)))
-        if hidden:
-            frames.append(self.spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(hidden))
-        out = frames[0] if len(frames) == 1 else frames[0].unionByName(frames[1])
-        return out.withColumn("path", F.regexp_replace("path", "^file:/+", "/"))
-
-    def _hidden(self, at) -> list[str]:
-        if not self._fs.getFileStatus(at).isDirectory():
-            return []
-        out = []
-        for s in self._fs.listStatus(at):
-            name = s.getPath().getName()
-            if name.startswith((".", "_")) and not name.endswith(".crc"):
-                out += [s.getPath().toString()] if s.isFile() else self._inside(s.getPath())
-            elif s.isDirectory():
-                out += self._hidden(s.getPath())
-        return out
-
-    def _inside(self, at) -> list[str]:
-        out, found = [], self._fs.listFiles(at, True)
+        """(path, modificationTime, length, content). The reader skips empty files and names that begin with a
+        dot or underscore, so these are listed by name."""
+        root, hidden, empty = self._path(at), [], []
+        base = self._fs.makeQualified(root).toString()
+        found = self._fs.listFiles(root, True)
         while found.hasNext():
             s = found.next()
-            if not s.getPath().getName().endswith(".crc"):
-                out.append(s.getPath().toString())
-        return out
+            path = s.getPath().toString()
+            inner = path[len(base) :].split("/")
+            if inner[-1].startswith(".") and inner[-1].endswith(".crc"):
+                continue
+            if not s.getLen():
+                empty.append((path, s.getModificationTime()))
+            elif any(x.startswith((".", "_")) for x in inner):
+                hidden.append(path)
+        reader = self.spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+        out = reader.load(at)
+        if hidden:
+            out = out.unionByName(reader.load(hidden))
+        if empty:
+            rows = self.spark.createDataFrame(empty, "path string, ms long")
+            out = out.where("length > 0").unionByName(rows.select("path", F.timestamp_millis("ms").alias("modificationTime"), F.lit(0).cast("long").alias("length"), F.lit(b"").alias("content")))
+        return out.withColumn("path", F.regexp_replace("path", "^file:/+", "/"))
 
     def corpus(self, prefix: str = "") -> DataFrame:
         """(uri, content) of all files under a prefix; uris are keys."""
