@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -11,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
 #: Bytes of text that one vectorised step holds at a time.
 BLOCK_BYTES = 1 << 20
 
@@ -40,6 +43,13 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release() -> None:
+    """Gives freed memory of a Python worker back to the system; a worker outlives its task."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
+
+
 def text_of(name: str = "text") -> Column:
     """The text with null as the empty string."""
     return F.coalesce(F.col(name).cast("string"), F.lit(""))

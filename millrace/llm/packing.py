@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SegmentHash, blocks, text_of, utf8
+from .common import SegmentHash, blocks, release, text_of, utf8
 
 #: Where the public vocabularies lie.
 TOKENIZERS = "/opt/tokenizers"
@@ -99,7 +99,7 @@ def piece_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 class Encoder:
     """Encodes texts that lie end to end; distinct pieces are encoded once and remembered by hash."""
 
-    MOST = 1_000_000
+    MOST = 300_000
 
     def __init__(self, path: str):
         self.coder = encoding(path)
@@ -202,6 +202,7 @@ def pack_documents(
                     ],
                     names=["doc_id", "piece", "start", "length", "bucket", "tokens"],
                 )
+            release()
 
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).where("text <> ''")
     return narrow.mapInArrow(run, SCHEMA)

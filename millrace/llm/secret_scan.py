@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import release, text_of
 
 #: Runs of these characters are judged whole, however long.
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
@@ -106,7 +106,7 @@ class Scanner:
         for m in CANDIDATE.finditer(text):
             word = m.group()
             if word not in self.seen:
-                if len(self.seen) > 200_000:
+                if len(self.seen) > 50_000:
                     self.seen.clear()
                 value = score(bare(word), self.ratio)
                 self.seen[word] = value if value > self.least else None
@@ -162,6 +162,7 @@ def redact_secrets(docs: DataFrame) -> DataFrame:
                 for at, word, _ in reversed(scan(text)):
                     text = text[:at] + MASK + text[at + len(word) :]
             out.append(text)
+        release()
         return pa.array(out, pa.string())
 
     r = F.col("r")

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import blocks, bounds, materialise, mix64, sorted_groups, text_of, utf8
+from .common import blocks, bounds, materialise, mix64, release, sorted_groups, text_of, utf8
 from .components import components
 from .words import RunHash, word_hashes
 
@@ -99,6 +99,7 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             [batch.column(0), pa.array(digests, pa.binary()), pa.array(prints.tolist(), pa.list_(pa.int64())), pa.array(sketches, pa.binary())],
             names=["doc_id", "digest", "prints", "sketch"],
         )
+        release()
 
 
 def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -9,10 +9,11 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, labelled_sample, logistic
+from .common import blocks, labelled_sample, logistic, release
 
 TOKEN = re.compile(r"\w+")
 #: Labelled documents that the field is trained on, at most.
@@ -20,7 +21,8 @@ TRAINING_DOCS = 2000
 #: A feature of a toxic document marks its tokens when it has such support and log odds.
 SUPPORT, LOG_ODDS = 5, 2.5
 PREFIXES = (4, 5, 6, 7, 8)
-BUCKETS = 1 << 18
+#: Bytes of text whose tokens are tagged in one go.
+BLOCK = 1 << 18
 
 SPANS = "array<struct<start:int,end:int,probability:double>>"
 
@@ -185,7 +187,7 @@ def train(sample: list[tuple[str, int]], steps: int = 40, ridge: float = 1e-4) -
     fitted = {"w": keep, "bias": float(w[-1]), "start": np.exp(theta_s), "transition": np.exp(theta_t)}
     x, z = [], []
     tag = Tagger(fitted)
-    for lo, hi in blocks(np.array([len(t) for t, _ in sample])):
+    for lo, hi in blocks(np.array([len(t) for t, _ in sample]), BLOCK):
         for (found, n), (_, label) in zip(tag([t for t, _ in sample[lo:hi]]), sample[lo:hi]):
             x.append(evidence(found, n))
             z.append(label)
@@ -207,7 +209,7 @@ class Tagger:
         self.seen: dict[str, float] = {}
 
     def emission(self, word: str) -> float:
-        if len(self.seen) > 400_000:
+        if len(self.seen) > 100_000:
             self.seen.clear()
         get = self.w.get
         value = self.seen[word] = self.bias + sum([get(f, 0.0) for f in features(word)])
@@ -244,13 +246,14 @@ def fit(documents: DataFrame, labels: DataFrame, most: int = TRAINING_DOCS) -> d
     return train(labelled_sample(documents, labels, "toxic", most))
 
 
-def _scores(fitted: dict, texts: list[str]) -> Iterator[tuple[float, list]]:
-    tag = _scores.tagger
+def _scores(fitted: dict, tag: Tagger, texts: list[str]) -> Iterator[tuple[float, list]]:
     w = fitted["doc"]
-    for lo, hi in blocks(np.array([len(t) for t in texts])):
-        for found, n in tag(texts[lo:hi]):
-            value = 1 / (1 + np.exp(-np.clip(np.dot([*evidence(found, n), 1.0], w), -30, 30))) if found else 0.0
-            yield float(value), found
+    for found, n in tag(texts):
+        value = 1 / (1 + np.exp(-np.clip(np.dot([*evidence(found, n), 1.0], w), -30, 30))) if found else 0.0
+        yield float(value), found
+
+
+_tagger: list = [None, None]
 
 
 def tag_column(spark, fitted: dict):
@@ -260,9 +263,13 @@ def tag_column(spark, fitted: dict):
     @F.arrow_udf(f"struct<score:double,spans:{SPANS}>")
     def tag(column: pa.Array) -> pa.Array:
         model = held.value
-        if getattr(_scores, "model", None) is not model:
-            _scores.model, _scores.tagger = model, Tagger(model)
-        found = list(_scores(model, [x or "" for x in column.to_pylist()]))
+        if _tagger[0] is not model:  # a worker keeps it from batch to batch
+            _tagger[:] = model, Tagger(model)
+        column = column.fill_null("")
+        found: list = []
+        for lo, hi in blocks(pc.binary_length(column).to_numpy(), BLOCK):
+            found += _scores(model, _tagger[1], column.slice(lo, hi - lo).to_pylist())
+        release()
         spans = [[{"start": s, "end": e, "probability": round(p, 6)} for s, e, p in f] for _, f in found]
         kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("probability", pa.float64())]))
         return pa.StructArray.from_arrays(
