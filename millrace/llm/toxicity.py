@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import sys
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
@@ -23,6 +24,8 @@ SUPPORT, LOG_ODDS = 5, 2.5
 PREFIXES = (4, 5, 6, 7, 8)
 #: Bytes of text whose tokens are tagged in one go.
 BLOCK = 1 << 18
+#: Tokens that training holds in arrays at a time.
+PART = 100_000
 
 SPANS = "array<struct<start:int,end:int,probability:double>>"
 
@@ -137,7 +140,7 @@ def train(sample: list[tuple[str, int]], steps: int = 40, ridge: float = 1e-4) -
 
     With no toxic or no clean document nothing can be learned, and every score is 0.
     """
-    docs = [TOKEN.findall(text.lower()) for text, _ in sample]
+    docs = [[*map(sys.intern, TOKEN.findall(text.lower()))] for text, _ in sample]
     toxic = [y for _, y in sample]
     if not any(toxic) or all(toxic):
         return {"w": {}, "start": np.ones(2), "transition": np.ones((2, 2)), "doc": np.array([0.0, 0.0, -30.0])}
@@ -149,6 +152,9 @@ def train(sample: list[tuple[str, int]], steps: int = 40, ridge: float = 1e-4) -
     y = np.concatenate([labels[i] for i in used]).astype(float)
     first = np.zeros(len(at), bool)
     first[np.concatenate(([0], np.cumsum([len(docs[i]) for i in used])[:-1]))] = True
+    # whole documents, about PART tokens at a time
+    edge = np.append(np.flatnonzero(first), len(at))
+    parts = [(int(edge[lo]), int(edge[hi])) for lo, hi in blocks(np.diff(edge), PART)]
     names: dict[str, int] = {}
     rows, columns = [], []
     for w, i in types.items():
@@ -175,7 +181,10 @@ def train(sample: list[tuple[str, int]], steps: int = 40, ridge: float = 1e-4) -
     for i in range(1, steps + 1):
         score = np.bincount(rows, w[columns], len(types)) + w[-1]
         chain = Chain(np.exp(theta_s), np.exp(theta_t))
-        p, pair = chain.marginals(score[at], first)
+        p, pair = np.empty(len(at)), np.zeros((2, 2))
+        for lo, hi in parts:
+            p[lo:hi], own = chain.marginals(score[at[lo:hi]], first[lo:hi])
+            pair += own
         diff = np.bincount(at, p, len(types)) - gold
         p_first = p[first].sum()
         rate = 0.5 / (1 + i / 20)
@@ -243,7 +252,9 @@ class Tagger:
 
 def fit(documents: DataFrame, labels: DataFrame, most: int = TRAINING_DOCS) -> dict:
     """The field for a corpus, trained on at most ``most`` labelled documents."""
-    return train(labelled_sample(documents, labels, "toxic", most))
+    fitted = train(labelled_sample(documents, labels, "toxic", most))
+    release()
+    return fitted
 
 
 def _scores(fitted: dict, tag: Tagger, texts: list[str]) -> Iterator[tuple[float, list]]:
