@@ -14,12 +14,14 @@ from .common import SegmentHash, blocks, text_of, utf8
 from .words import sliding_min
 
 #: Bytes of a feature, positions among which the rarest one is sought, and how often a
-#: feature must be the rarest to be selected.
-WINDOW, SPAN, POPULARITY = 64, 64, 16
+#: feature must be the rarest to be selected. A text has about one feature per 8 bytes, so that
+#: references of a line or two have several.
+WINDOW, SPAN, POPULARITY = 32, 8, 3
 #: Bits of a filter, bits set by a feature, features in a filter before the next is begun.
-BITS, HASHES, CAPACITY = 2048, 5, 160
-#: Fewer features than this in a filter are no evidence.
-LEAST = 3
+BITS, HASHES, CAPACITY = 2048, 5, 64
+#: Common bits count beyond this share of the way from chance to the greatest possible, and
+#: beyond so many standard deviations of chance.
+SHARE, DEVIATIONS = 0.3, 5
 #: Entropy is cut into so many steps.
 STEPS = 1000
 #: Bytes of text whose entropies are counted in one go, and lanes in which that is done.
@@ -148,26 +150,26 @@ def _popcount(x: np.ndarray) -> np.ndarray:
     return np.bitwise_count(x.view(np.uint64)).sum(-1, dtype=np.int32)
 
 
+def _scores(common: np.ndarray, ca: np.ndarray, cb: np.ndarray) -> np.ndarray:
+    """Scores of pairs of filters with ca and cb bits: 0 for as many common bits as chance can
+    give, 1 for the greatest possible number. Small filters need the larger share of theirs."""
+    least = np.minimum(ca, cb)
+    chance = ca * cb / BITS
+    deviation = np.sqrt(chance * (1 - ca / BITS) * (1 - cb / BITS))
+    cut = chance + np.maximum(SHARE * (least - chance), DEVIATIONS * deviation)
+    return np.clip((common - cut) / np.maximum(least - cut, 1e-9), 0, 1)
+
+
 def overlap(a: np.ndarray, na: np.ndarray, b: np.ndarray, nb: np.ndarray) -> float:
     """Similarity of two digests, 0 to 1: each filter of the shorter takes its best partner
-    in the other, and the mean is the score.
-
-    Two filters' common bits are normalised between the number expected by chance and the
-    greatest possible; filters of fewer than LEAST features say nothing.
-    """
+    in the other, and the mean by their numbers of features is the score."""
     if len(a) > len(b) or (len(a) == len(b) and na.sum() > nb.sum()):
         a, na, b, nb = b, nb, a, na
-    use_a, use_b = na >= LEAST, nb >= LEAST
-    a, b = a[use_a], b[use_b]
     if not len(a) or not len(b):
         return 0.0
-    ca, cb = _popcount(a)[:, None], _popcount(b)[None, :]
     common = _popcount(a[:, None, :] & b[None, :, :])
-    least = np.minimum(ca, cb)
-    chance = ca * cb / BITS
-    cut = chance + 0.3 * (least - chance)
-    score = np.clip((common - cut) / np.maximum(least - cut, 1e-9), 0, 1)
-    return float(score.max(axis=1).mean())
+    score = _scores(common, _popcount(a)[:, None], _popcount(b)[None, :])
+    return float((score.max(axis=1) * na).sum() / na.sum())
 
 
 def rarity(docs: DataFrame) -> np.ndarray:
@@ -273,7 +275,6 @@ def _nearest(held):
         lengths = np.array([len(f) for _, f, _ in known])
         pops = _popcount(bits) if len(bits) else np.zeros(0, np.int32)
         words = bits.view(np.uint64)
-        usable = (n >= LEAST).astype(int)
         starts = np.concatenate(([0], np.cumsum(lengths)[:-1])).astype(int)
         for batch in batches:
             nearest, score = batch.column(4).to_pylist(), batch.column(5).to_numpy(zero_copy_only=False).copy()
@@ -283,16 +284,11 @@ def _nearest(held):
                 a, na = _split(raw, features)
                 ca = _popcount(a)
                 common = np.stack([np.bitwise_count(x & words).sum(1, dtype=np.int32) for x in a.view(np.uint64)])
-                least = np.minimum(ca[:, None], pops)
-                chance = ca[:, None] * pops / BITS
-                cut = chance + 0.3 * (least - chance)
-                s = np.clip((common - cut) / np.maximum(least - cut, 1e-9), 0, 1)
-                s[:, usable == 0] = 0
-                s = s[na >= LEAST]
+                s = _scores(common, ca[:, None], pops)
                 if not s.any():
                     continue
-                rows_best = np.maximum.reduceat(s, starts, axis=1).mean(axis=0)
-                filters_best = np.add.reduceat(s.max(axis=0) * usable, starts) / np.maximum(np.add.reduceat(usable, starts), 1)
+                rows_best = (np.maximum.reduceat(s, starts, axis=1) * na[:, None]).sum(axis=0) / na.sum()
+                filters_best = np.add.reduceat(s.max(axis=0) * n, starts) / sums
                 shorter = (len(a) < lengths) | ((len(a) == lengths) & (features <= sums))
                 values = np.where(shorter, rows_best, filters_best)
                 best = values.max()

@@ -126,6 +126,15 @@ def test_fingerprints_edges(spark):
     assert fingerprints.fingerprint_documents(odd(spark).limit(0), refs).count() == 0
 
 
+def test_fingerprints_find_planted_references_of_all_lengths(spark):
+    known = [(i, prose(3000 + i, 40)[: 81 + i * 313 // 39]) for i in range(40)]  # 81 to 394 bytes, as in the benchmark
+    texts = [f"{prose(4000 + i, 150 + i)} {t} {prose(5000 + i, 150)}" for i, t in known] + [t for _, t in known] + [prose(6000 + i, 400) for i in range(20)]
+    out = {r.doc_id: r for r in fingerprints.fingerprint_documents(documents(spark, texts), table(spark, known, "item_id long, text string")).collect()}
+    assert [out[i].nearest for i in range(80)] == [*range(40), *range(40)]
+    assert all(out[i].overlap == 1 for i in range(40, 80))
+    assert max(out[i].overlap for i in range(80, 100)) < min(out[i].overlap for i in range(80))
+
+
 # --- 3 ----------------------------------------------------------------------------------------
 
 
