@@ -22,6 +22,8 @@ BITS, HASHES, CAPACITY = 2048, 5, 64
 #: Common bits count beyond this share of the way from chance to the greatest possible, and
 #: beyond so many standard deviations of chance.
 SHARE, DEVIATIONS = 0.3, 5
+#: References that overlap a document more than this are its matches.
+BEYOND = 0.0
 #: Entropy is cut into so many steps.
 STEPS = 1000
 #: Bytes of text whose entropies are counted in one go, and lanes in which that is done.
@@ -29,6 +31,9 @@ BLOCK, LANES = 1 << 21, 4096
 #: Largest table of reference digests, in bytes, that is sent to every task.
 REFERENCE_BYTES = 16 << 20
 
+#: Type of the list of a document's matches.
+MATCHES = "array<struct<id: bigint, overlap: double>>"
+
 _C = np.arange(WINDOW + 1, dtype=float)
 #: c * log2(c), scaled so that a window's sum becomes its entropy step.
 _CLOGC = np.where(_C > 0, _C * np.log2(np.maximum(_C, 1)), 0) / WINDOW / np.log2(WINDOW) * STEPS
@@ -204,14 +209,15 @@ def rarity(docs: DataFrame) -> np.ndarray:
     return rank
 
 
-def fingerprint_documents(docs: DataFrame, references: DataFrame, reference_id: str = "item_id", ranks: np.ndarray | None = None) -> DataFrame:
-    """(doc_id, features, filters, digest, nearest, overlap): a digest of every document, and
-    the reference text whose digest overlaps it most.
+def fingerprint_documents(docs: DataFrame, references: DataFrame, reference_id: str = "item_id", ranks: np.ndarray | None = None, beyond: float = BEYOND) -> DataFrame:
+    """(doc_id, features, filters, digest, nearest, overlap, matches): a digest of every document, and
+    the reference texts whose digests overlap it.
 
     Windows of WINDOW bytes are ranked by the rarity of their entropy among all windows of
     ``docs`` (or by the given ``ranks``, to make digests of several corpora comparable).
     Selected windows are inserted in chained Bloom filters of BITS bits; ``digest`` holds the
-    filters one after another. ``overlap`` is the normalised bit overlap of ``overlap()``,
+    filters one after another. ``matches`` holds (id, overlap), by id, for every reference whose normalised
+    bit overlap, that of ``overlap()``, is more than ``beyond``. ``overlap`` is the greatest of all,
     and ``nearest`` the least id of those that reach it, null where nothing overlaps.
     References are compared in tasks that hold all reference digests, if these are at most
     REFERENCE_BYTES; a larger table is split in parts that are compared one after another.
@@ -246,11 +252,11 @@ def fingerprint_documents(docs: DataFrame, references: DataFrame, reference_id:
     known = digested(references, reference_id).where("filters > 0 AND doc_id IS NOT NULL").select(F.col("doc_id").alias("id"), "features", "digest")
     size = references.select(F.sum(F.octet_length(text_of()))).first()[0] or 0
     parts = max(1, -(-int(size) // REFERENCE_BYTES))  # a digest is smaller than its text
-    rows: DataFrame = found.select("*", F.lit(None).cast("long").alias("nearest"), F.lit(0.0).alias("overlap"))
+    rows: DataFrame = found.select("*", F.lit(None).cast("long").alias("nearest"), F.lit(0.0).alias("overlap"), F.array().cast(MATCHES).alias("matches"))
     for part in range(parts):
         table = known if parts == 1 else known.where(F.pmod(F.xxhash64("id"), F.lit(parts)) == part)
         local = [(r.id, r.features, bytes(r.digest)) for r in table.collect()]  # at most about REFERENCE_BYTES
-        rows = rows.mapInArrow(_nearest(spark.sparkContext.broadcast(sorted(local))), rows.schema)
+        rows = rows.mapInArrow(_nearest(spark.sparkContext.broadcast(sorted(local)), beyond), rows.schema)
     return rows
 
 
@@ -262,8 +268,9 @@ def _split(raw: bytes, features: int) -> tuple[np.ndarray, np.ndarray]:
     return filters, n
 
 
-def _nearest(held):
-    """Keeps for each row the better of what it has and the best of the held references."""
+def _nearest(held, beyond: float):
+    """Adds to each row's matches those of the held references, and keeps the better of what it
+    has and the best of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = [(i, *_split(raw, features)) for i, features, raw in held.value]
@@ -276,8 +283,10 @@ def _nearest(held):
         pops = _popcount(bits) if len(bits) else np.zeros(0, np.int32)
         words = bits.view(np.uint64)
         starts = np.concatenate(([0], np.cumsum(lengths)[:-1])).astype(int)
+        kind = pa.list_(pa.struct([("id", pa.int64()), ("overlap", pa.float64())]))
         for batch in batches:
             nearest, score = batch.column(4).to_pylist(), batch.column(5).to_numpy(zero_copy_only=False).copy()
+            matches = batch.column(6).to_pylist()
             for row, (raw, features) in enumerate(zip(batch.column(3).to_pylist(), batch.column(1).to_pylist())):
                 if not raw or not known:
                     continue
@@ -291,9 +300,13 @@ def _nearest(held):
                 filters_best = np.add.reduceat(s.max(axis=0) * n, starts) / sums
                 shorter = (len(a) < lengths) | ((len(a) == lengths) & (features <= sums))
                 values = np.where(shorter, rows_best, filters_best)
+                over = np.flatnonzero(values > beyond)
+                if len(over):
+                    own = [(m["id"], m["overlap"]) for m in matches[row]] + list(zip(ids[over].tolist(), values[over].tolist()))
+                    matches[row] = [{"id": i, "overlap": v} for i, v in sorted(own)]
                 best = values.max()
                 if best > score[row] or (best == score[row] > 0 and ids[values == best].min() < (nearest[row] or 0)):
                     nearest[row], score[row] = int(ids[values == best].min()), best
-            yield pa.record_batch([*batch.columns[:4], pa.array(nearest, pa.int64()), pa.array(score)], names=batch.schema.names)
+            yield pa.record_batch([*batch.columns[:4], pa.array(nearest, pa.int64()), pa.array(score), pa.array(matches, kind)], names=batch.schema.names)
 
     return run

@@ -135,6 +135,21 @@ def test_fingerprints_find_planted_references_of_all_lengths(spark):
     assert max(out[i].overlap for i in range(80, 100)) < min(out[i].overlap for i in range(80))
 
 
+def test_fingerprints_report_every_reference(spark, monkeypatch):
+    known = [(i, prose(3000 + i, 50)) for i in range(12)]
+    texts = [" ".join([prose(4000, 80), known[1][1], prose(4001, 80), known[5][1], known[9][1]]), known[3][1], prose(4002, 200), None]
+    docs, refs = documents(spark, texts), table(spark, known, "item_id long, text string")
+    for size in (fingerprints.REFERENCE_BYTES, 1500):  # in one part, and in several
+        monkeypatch.setattr(fingerprints, "REFERENCE_BYTES", size)
+        out = {r.doc_id: r for r in fingerprints.fingerprint_documents(docs, refs).collect()}
+        assert [[m.id for m in out[i].matches] for i in range(4)] == [[1, 5, 9], [3], [], []]
+        for r in out.values():
+            best = max((m.overlap for m in r.matches), default=0)
+            assert r.overlap == best and r.nearest == min((m.id for m in r.matches if m.overlap == best), default=None)
+    strict = {r.doc_id: r for r in fingerprints.fingerprint_documents(docs, refs, beyond=0.99).collect()}
+    assert strict[0].nearest is not None and all(m.overlap > 0.99 for m in strict[0].matches)
+
+
 # --- 3 ----------------------------------------------------------------------------------------
 
 
