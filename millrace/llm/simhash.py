@@ -19,7 +19,10 @@ TABLES, BITS = 6, 48
 #: Fingerprints up to RADIUS bits apart meet: each emits what lies within half of it.
 RADIUS = 2
 #: Words in a shingle, and shingles in a sketch, by which colliding pairs are verified.
-SHINGLE, SKETCH = 3, 64
+SHINGLE, SKETCH = 3, 256
+#: Further keys of a text from its shingles, each of the least under so many hashes: texts of
+#: Jaccard similarity J share one with probability 1 - (1 - J**ROWS)**BANDS, 0.97 at J = 0.5.
+BANDS, ROWS = 12, 2
 #: Least estimated Jaccard similarity of shingles of two near-duplicates.
 SIMILAR = 0.5
 #: Bytes of text that are fingerprinted in one go.
@@ -58,6 +61,18 @@ def fingerprints(words: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out
 
 
+def bands(shingles: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """BANDS keys of BITS bits (n x BANDS, int64) of texts given by their shingles, of which each has one at least."""
+    keys = np.zeros((len(offsets) - 1, BANDS), np.uint64)
+    if not len(keys):
+        return keys.astype(np.int64)
+    factors = mix64(np.arange(BANDS * ROWS, dtype=np.uint64)) | np.uint64(1)
+    with np.errstate(over="ignore"):
+        for i, factor in enumerate(factors):
+            keys[:, i // ROWS] = mix64(keys[:, i // ROWS] ^ np.minimum.reduceat(shingles * factor, offsets[:-1]))
+    return (keys >> np.uint64(64 - BITS)).astype(np.int64)
+
+
 def sketch(shingles: np.ndarray) -> np.ndarray:
     """The SKETCH least distinct 32-bit hashes of a text's shingles, sorted."""
     x = (shingles >> np.uint64(32)).astype(np.uint32)
@@ -88,13 +103,16 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digests, prints, sketches = [], [], []
         for lo, hi in blocks(np.diff(offsets), BLOCK):
             words, at = word_hashes(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
-            prints.append(fingerprints(words, at))
             shingles = RunHash(words)(SHINGLE)
+            own_shingles = [shingles[s : e - SHINGLE + 1] if e - s >= SHINGLE else words[s:e] for s, e in zip(at[:-1].tolist(), at[1:].tolist()) if e > s]
+            keys = np.zeros((hi - lo, BANDS), np.int64)
+            keys[np.diff(at) > 0] = bands(np.concatenate(own_shingles or [words]), np.cumsum([0, *map(len, own_shingles)]))
+            prints.append(np.hstack([fingerprints(words, at), keys]))
             for s, e in zip(at[:-1].tolist(), at[1:].tolist()):
                 own = words[s:e]
                 digests.append(xxhash.xxh128_digest(own.tobytes()) if e > s else None)
                 sketches.append((sketch(shingles[s : e - SHINGLE + 1]) if e - s >= SHINGLE else np.unique((own >> np.uint64(32)).astype(np.uint32))).tobytes())
-        prints = np.concatenate(prints) if prints else np.zeros((0, TABLES), np.int64)
+        prints = np.concatenate(prints) if prints else np.zeros((0, TABLES + BANDS), np.int64)
         yield pa.record_batch(
             [batch.column(0), pa.array(digests, pa.binary()), pa.array(prints.tolist(), pa.list_(pa.int64())), pa.array(sketches, pa.binary())],
             names=["doc_id", "digest", "prints", "sketch"],
@@ -139,7 +157,8 @@ def near_duplicates(docs: DataFrame, least: float = SIMILAR) -> DataFrame:
     A node has TABLES SimHash fingerprints of BITS bits. Each distinct fingerprint emits
     itself and all variants within RADIUS / 2 bits; variants are shuffled, and fingerprints that
     meet are within RADIUS bits. No bucket can hold more than BITS + 1 of them. The nodes of a
-    fingerprint are paired with the least of them. Pairs are deduplicated
+    fingerprint are paired with the least of them. Texts with many edits have word bags too far apart
+    for that: BANDS keys from the shingles bring them together, and nodes that share a key are paired alike. Pairs are deduplicated
     and verified: the Jaccard similarity of their SHINGLE-word shingles, estimated from
     the SKETCH least hashes, must be at least ``least``. Groups are the connected components.
 
@@ -159,13 +178,14 @@ def near_duplicates(docs: DataFrame, least: float = SIMILAR) -> DataFrame:
     keys = nodes.where("prints IS NOT NULL").select(F.posexplode("prints").alias("t", "p"), "node")
     keys = keys.select((F.shiftleft(F.col("t").cast("long"), BITS).bitwiseOR(F.col("p"))).alias("key"), "node")
     heads = materialise(keys.withColumn("head", F.min("node").over(Window.partitionBy("key"))).distinct(), "simhash-heads")
-    variants = heads.where("node = head").select(
+    variants = heads.where("node = head").where(F.shiftright("key", BITS) < TABLES).select(
         F.explode(F.array(F.col("key"), *[F.col("key").bitwiseXOR(F.lit(1 << i)) for i in range(BITS)])).alias("v"), F.col("node").alias("a")
     )
     met = variants.repartition(F.col("v")).sortWithinPartitions("v").mapInArrow(_pairs, "a long, b long")
-    pairs = heads.where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b")).unionByName(met).distinct()
+    pairs = materialise(heads.where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b")).unionByName(met).distinct(), "simhash-pairs")
     # repeated ids can hold several sketches: any of them serves
-    sketches = nodes.where("sketch IS NOT NULL").groupBy("node").agg(F.min("sketch").alias("sketch"))
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    sketches = nodes.where("sketch IS NOT NULL").join(ids, "node", "left_semi").groupBy("node").agg(F.min("sketch").alias("sketch"))
     a, b = sketches.toDF("a", "x"), sketches.toDF("b", "y")
     sure = pairs.join(a, "a").join(b, "b").select("a", "b", "x", "y").mapInArrow(_verify(least), "a long, b long")
     # rows with equal ids tie their nodes together

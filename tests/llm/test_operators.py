@@ -331,6 +331,27 @@ def test_near_duplicates_by_brute_force(spark):
     assert {group[i] for i in kept} == set(group) and len(kept) <= 1.1 * len(set(group))
 
 
+def shingle_pairs(texts):
+    """All pairs of texts whose sets of three-word shingles have a Jaccard similarity of 0.5 or more."""
+    sets = [{tuple(w[i : i + 3]) for i in range(len(w) - 2)} for w in (t.split() for t in texts)]
+    return {(i, j) for i, j in itertools.combinations(range(len(texts)), 2) if 2 * len(sets[i] & sets[j]) >= len(sets[i] | sets[j])}
+
+
+def test_near_duplicates_against_all_pairs_of_shingles(spark):
+    r, texts = random.Random(5), []
+    for g in range(150):  # short and long texts, with edits of up to a word in ten
+        base = prose(7000 + g, r.choice((15, 30, 60, 120, 400))).split()
+        texts.append(" ".join(base))
+        words = list(base)
+        for _ in range(r.randint(1, max(1, len(base) // 10))):
+            words[r.randrange(len(words))] = r.choice(WORDS)
+        texts.append(" ".join(words))
+    want = shingle_pairs(texts)
+    found = pairs_of((r.doc_id, r.group_id) for r in simhash.near_duplicates(documents(spark, texts)).collect())
+    assert len(want) > 80 and len(found & want) >= 0.9 * len(want)
+    assert len(found - want) <= 0.05 * len(want)
+
+
 def test_simhash_edges(spark):
     out = {r.doc_id: r.group_id for r in simhash.near_duplicates(odd(spark)).collect()}
     assert out == {1: 1, 2: 2, 3: 3, 4: 4, 5: 5, 6: 6, 7: 5}
