@@ -121,22 +121,38 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All pairs of the fingerprints that share a variant. They are distinct and lie within
-    half the radius of the variant, so there are at most BITS + 1 of them."""
+    """All pairs of the nodes that share a variant. Distinct fingerprints lie within half the radius
+    of the variant, so there are at most BITS + 1 of them; large groups are taken in slices."""
     for table in sorted_groups(batches, "v"):
         v, a = (table.column(c).combine_chunks().to_numpy(zero_copy_only=False) for c in ("v", "a"))
         edge = bounds(v)
         size = np.diff(edge)
         left, right = [], []
         for n in np.unique(size[size > 1]).tolist():
-            rows = a[edge[:-1][size == n][:, None] + np.arange(n)]
+            starts = edge[:-1][size == n]
+            if n > 1000:
+                for s in starts.tolist():
+                    group = np.unique(a[s : s + n])
+                    for i in range(len(group) - 1):
+                        yield pa.record_batch([pa.array(np.full(len(group) - i - 1, group[i])), pa.array(group[i + 1 :])], schema=PAIR)
+                continue
             x, y = np.triu_indices(n, 1)
-            left.append(np.minimum(rows[:, x], rows[:, y]).ravel())
-            right.append(np.maximum(rows[:, x], rows[:, y]).ravel())
+            step = max(1, 1_000_000 // len(x))
+            for k in range(0, len(starts), step):
+                rows = a[starts[k : k + step, None] + np.arange(n)]
+                left.append(np.minimum(rows[:, x], rows[:, y]).ravel())
+                right.append(np.maximum(rows[:, x], rows[:, y]).ravel())
+                if sum(map(len, left)) >= 1_000_000:
+                    yield _distinct(left, right)
+                    left, right = [], []
         if left:
-            x, y = np.concatenate(left), np.concatenate(right)
-            both = np.unique(np.stack([x, y], axis=1)[x != y], axis=0)
-            yield pa.record_batch([pa.array(both[:, 0]), pa.array(both[:, 1])], schema=PAIR)
+            yield _distinct(left, right)
+
+
+def _distinct(left: list[np.ndarray], right: list[np.ndarray]) -> pa.RecordBatch:
+    x, y = np.concatenate(left), np.concatenate(right)
+    both = np.unique(np.stack([x, y], axis=1)[x != y], axis=0)
+    return pa.record_batch([pa.array(both[:, 0]), pa.array(both[:, 1])], schema=PAIR)
 
 
 def _verify(least: float):
@@ -150,15 +166,26 @@ def _verify(least: float):
     return run
 
 
+def verified(nodes: DataFrame, pairs: DataFrame, least: float) -> DataFrame:
+    """The pairs of nodes whose sketches are similar enough."""
+    pairs = materialise(pairs, "simhash-pairs")
+    # repeated ids can hold several sketches: any of them serves
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    sketches = nodes.where("sketch IS NOT NULL").join(ids, "node", "left_semi").groupBy("node").agg(F.min("sketch").alias("sketch"))
+    a, b = sketches.toDF("a", "x"), sketches.toDF("b", "y")
+    return materialise(pairs.join(a, "a").join(b, "b").select("a", "b", "x", "y").mapInArrow(_verify(least), "a long, b long"), "simhash-sure")
+
+
 def near_duplicates(docs: DataFrame, least: float = SIMILAR) -> DataFrame:
     """(doc_id, group_id) for every document; ``group_id`` is the least id of its near-duplicates.
 
     Words (in lower case, punctuation aside) are hashed; texts of the same words are one node.
     A node has TABLES SimHash fingerprints of BITS bits. Each distinct fingerprint emits
     itself and all variants within RADIUS / 2 bits; variants are shuffled, and fingerprints that
-    meet are within RADIUS bits. No bucket can hold more than BITS + 1 of them. The nodes of a
+    meet are within RADIUS bits. The nodes of a
     fingerprint are paired with the least of them. Texts with many edits have word bags too far apart
-    for that: BANDS keys from the shingles bring them together, and nodes that share a key are paired alike. Pairs are deduplicated
+    for that: BANDS keys from the shingles bring them together, and nodes that share a key are paired alike. Nodes that are not
+    similar to the least are paired with all others of the fingerprint or key, and emit variants too. Pairs are deduplicated
     and verified: the Jaccard similarity of their SHINGLE-word shingles, estimated from
     the SKETCH least hashes, must be at least ``least``. Groups are the connected components.
 
@@ -178,16 +205,20 @@ def near_duplicates(docs: DataFrame, least: float = SIMILAR) -> DataFrame:
     keys = nodes.where("prints IS NOT NULL").select(F.posexplode("prints").alias("t", "p"), "node")
     keys = keys.select((F.shiftleft(F.col("t").cast("long"), BITS).bitwiseOR(F.col("p"))).alias("key"), "node")
     heads = materialise(keys.withColumn("head", F.min("node").over(Window.partitionBy("key"))).distinct(), "simhash-heads")
-    variants = heads.where("node = head").where(F.shiftright("key", BITS) < TABLES).select(
+    first = verified(nodes, heads.where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct(), least)
+    # who isn't joined to the head of a key is compared with all others of it
+    rest = heads.where("node <> head").join(first.toDF("head", "node"), ["head", "node"], "left_anti").select("key", "node", "head")
+    rest = materialise(rest, "simhash-rest")
+    others = rest.join(heads.select("key", F.col("node").alias("other")), "key").where("other <> node AND other <> head")
+    others = others.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b"))
+    # heads and the rest emit variants
+    emitting = heads.where("node = head").select("key", "node").unionByName(rest.select("key", "node")).where(F.shiftright("key", BITS) < TABLES)
+    variants = emitting.select(
         F.explode(F.array(F.col("key"), *[F.col("key").bitwiseXOR(F.lit(1 << i)) for i in range(BITS)])).alias("v"), F.col("node").alias("a")
     )
     met = variants.repartition(F.col("v")).sortWithinPartitions("v").mapInArrow(_pairs, "a long, b long")
-    pairs = materialise(heads.where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b")).unionByName(met).distinct(), "simhash-pairs")
-    # repeated ids can hold several sketches: any of them serves
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    sketches = nodes.where("sketch IS NOT NULL").join(ids, "node", "left_semi").groupBy("node").agg(F.min("sketch").alias("sketch"))
-    a, b = sketches.toDF("a", "x"), sketches.toDF("b", "y")
-    sure = pairs.join(a, "a").join(b, "b").select("a", "b", "x", "y").mapInArrow(_verify(least), "a long, b long")
+    second = verified(nodes, others.unionByName(met).distinct(), least)
+    sure = first.unionByName(second)
     # rows with equal ids tie their nodes together
     ties = nodes.where("doc_id <> node").select(F.col("node").alias("a"), F.col("doc_id").alias("b"))
     roots = components(sure.unionByName(ties))

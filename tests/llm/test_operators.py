@@ -352,6 +352,18 @@ def test_near_duplicates_against_all_pairs_of_shingles(spark):
     assert len(found - want) <= 0.05 * len(want)
 
 
+def test_near_duplicates_of_texts_with_equal_fingerprints(spark):
+    r, texts = random.Random(6), []
+    for g in range(40):  # one word outweighs all others
+        own = prose(9000 + g, 60).split()
+        texts.append(" ".join(own + ["same"] * 40_000))
+        own[r.randrange(60)] = "other"
+        texts.append(" ".join(own + ["same"] * 40_000))
+    want = shingle_pairs(texts)
+    found = pairs_of((r.doc_id, r.group_id) for r in simhash.near_duplicates(documents(spark, texts)).collect())
+    assert len(want) == 40 and len(found & want) >= 38
+
+
 def test_simhash_edges(spark):
     out = {r.doc_id: r.group_id for r in simhash.near_duplicates(odd(spark)).collect()}
     assert out == {1: 1, 2: 2, 3: 3, 4: 4, 5: 5, 6: 6, 7: 5}
