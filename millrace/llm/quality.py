@@ -46,11 +46,14 @@ class Sizes:
         return good, bad
 
     def features(self, text: bytes) -> list[float]:
-        """The normalised difference of the sizes, the evidence it stands for (it grows with the root of the
-        length), and the rate of compression by the better one."""
-        good, bad = self(text)
-        d = (bad - good) / max(1, bad + good)
-        return [10 * d, d * np.sqrt(min(len(text), 4 * CHUNK)) / 4, min(good, bad) / max(1, len(text))]
+        return evidence(len(text), *self(text))
+
+
+def evidence(size: int, good: int, bad: int) -> list[float]:
+    """The normalised difference of the compressed sizes, the same as the evidence of the whole text (it grows with the
+    root of the length, without an end), and the rate of compression by the better dictionary."""
+    d = (bad - good) / max(1, bad + good)
+    return [10 * d, d * np.sqrt(size) / 4, min(good, bad) / max(1, size)]
 
 
 def fit_quality(documents: DataFrame, labels: DataFrame, most: int = TRAINING_DOCS) -> dict:
@@ -88,7 +91,7 @@ def score_quality(docs: DataFrame, fitted: dict) -> DataFrame:
     that of bad ones. ``score`` is the calibrated probability that it is good, from the
     normalised difference of the sizes; ``good`` says whether it is at least one half.
 
-    Null and empty texts have sizes 0 and score 0. Null and repeated ids pass through, each row on its own;
+    Null and empty texts have sizes 0 and score 0. A score of one half is good. Repeated texts have equal scores. Null and repeated ids pass through, each row on its own;
     an empty table gives an empty one; other columns are not read.
     """
     held = docs.sparkSession.sparkContext.broadcast(fitted)  # two dictionaries of at most DICTIONARY bytes
@@ -103,8 +106,7 @@ def score_quality(docs: DataFrame, fitted: dict) -> DataFrame:
                 g, b = sizes(text) if text else (0, 0)
                 good.append(g)
                 bad.append(b)
-                d = (b - g) / max(1, b + g)
-                x = [10 * d, d * np.sqrt(min(len(text), 4 * CHUNK)) / 4, min(g, b) / max(1, len(text)), 1.0]
+                x = [*evidence(len(text), g, b), 1.0]
                 score.append(round(float(1 / (1 + np.exp(-np.clip(np.dot(x, w), -30, 30)))), 6) if text else 0.0)
             yield pa.record_batch(
                 [batch.column(0), pa.array(good, pa.int64()), pa.array(bad, pa.int64()), pa.array(score, pa.float64())], names=["doc_id", "good_bytes", "bad_bytes", "score"]
