@@ -40,7 +40,27 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/millrace/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._millrace_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Removes tables that ``materialise`` wrote and that nothing reads any more."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._millrace_path)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def quoted(name: str) -> str:
+    """A column name that is taken as it is, dots included."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def packed(docs: DataFrame, *without: str) -> Column:
+    """All columns of a row as one struct, whatever their names; those named in ``without`` are left out."""
+    names = {w.lower() for w in without}
+    return F.struct(*[F.col(quoted(c)).alias(c) for c in docs.columns if c.lower() not in names])
 
 
 def release() -> None:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import discard, materialise
 
 EDGE = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
@@ -75,13 +75,14 @@ def components(edges: DataFrame) -> DataFrame:
         # small star: the smaller neighbours of a node, and itself, are tied to the least
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a")
-        links = materialise(
+        old, links = links, materialise(
             small.select(F.col("b").alias("a"), F.col("m").alias("b"))
             .unionByName(least.select("a", F.col("m").alias("b")))
             .where("a <> b")
             .distinct(),
             "links",
         )
+        discard(old)
         state = links.agg(F.count("*"), F.sum(F.hash("a", "b")), F.countDistinct("a")).first()
         if state[0] == state[2] and tuple(state) == before:  # one root a node, and stable
             break

@@ -7,10 +7,12 @@ import hashlib
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import packed
+
 #: Expected copies are kept as whole millionths, so that prefix sums are exact.
 UNIT = 1_000_000
-#: Hex digits of the order hash that name a shard; a source has 16**SHARD_DIGITS of them.
-SHARD_DIGITS = 3
+#: Rows that a shard of a source holds at most, about. Shards are leading hex digits of the order hash.
+SHARD_ROWS = 50_000
 
 
 def random_offset(seed: int) -> int:
@@ -18,7 +20,15 @@ def random_offset(seed: int) -> int:
     return int(hashlib.md5(str(seed).encode()).hexdigest()[:12], 16) % UNIT
 
 
-def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, epochs: float = 1.0, seed: int = 17) -> DataFrame:
+def shard_digits(rows: int) -> int:
+    """So many digits that a shard has SHARD_ROWS rows or fewer, also where all are of one source."""
+    digits = 3
+    while 16**digits * SHARD_ROWS < rows:
+        digits += 1
+    return digits
+
+
+def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, epochs: float = 1.0, seed: int = 17, copy: str | None = "copy") -> DataFrame:
     """Rows of ``docs``, each as often as systematic sampling emits it, with ``copy`` = 0, 1, ...
 
     A document of source s is expected share(s) * epochs * all characters / characters(s)
@@ -29,20 +39,22 @@ def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, epochs
     integer that its interval crosses.
 
     Only (source, shard) counts are summed across the cluster: shards are leading digits
-    of the order hash, so neither a hot source nor the number of rows loads one task.
+    of the order hash, as many as the number of rows asks for, so neither a hot source nor the number of rows
+    loads one task. The number of shards has no effect on the rows.
 
     Sizes come from ``n_chars``; null or negative ones count as 0. Null sources form one
     source of their own, which ``weights`` can't name. Null ids are ordered first. Rows with
     equal ids are ordered by text, and equal rows are exchangeable. A source without characters emits nothing,
-    an empty table gives an empty one, and other columns pass through, save that one named
-    ``copy`` is replaced.
+    an empty table gives an empty one, and other columns pass through, whatever their names, save that one
+    of the name ``copy``, in any case, is replaced. With ``copy=None`` there is no such column, and all pass through.
     """
     spark = docs.sparkSession
+    digits = shard_digits(docs.count())
     size = F.greatest(F.coalesce(F.col("n_chars").cast("long"), F.lit(0)), F.lit(0))
     key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
     source = F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit(""))
     shards = (
-        docs.select(source.alias("s"), F.substring(key, 1, SHARD_DIGITS).alias("d"), size.alias("z"))
+        docs.select(source.alias("s"), F.substring(key, 1, digits).alias("d"), size.alias("z"))
         .groupBy("s", "d")
         .agg(F.count("*").alias("n"), F.sum("z").alias("z"))
     )
@@ -62,9 +74,8 @@ def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, epochs
         .withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))
         .select(F.col("s").alias("_s"), F.col("d").alias("_d"), "before", "c")
     )
-    kept = [c for c in docs.columns if c != "copy"]
     rows = docs.select(
-        F.struct(*[docs[c] for c in kept]).alias("r"), source.alias("_s"), F.substring(key, 1, SHARD_DIGITS).alias("_d"), key.alias("_h")
+        packed(docs, *([copy] if copy else [])).alias("r"), source.alias("_s"), F.substring(key, 1, digits).alias("_d"), key.alias("_h")
     )
     # the counts are the small side, whatever the size; documents are shuffled once for join and window
     placed = rows.join(starts.hint("shuffle_hash"), ["_s", "_d"]).withColumn(
@@ -72,11 +83,8 @@ def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, epochs
     )
     u = random_offset(seed)
     copies = F.expr(f"int((i * c + {u}) div {UNIT} - ((i - 1) * c + {u}) div {UNIT})")
-    return (
-        placed.withColumn("k", copies)
-        .where("k > 0")
-        .select("r.*", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("copy"))
-    )
+    emitted = placed.withColumn("k", copies).where("k > 0").select("r", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("k"))
+    return emitted.select("r.*", F.col("k").alias(copy)) if copy else emitted.select("r.*")
 
 
 def mixing_sql(seed: int = 17) -> str:

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import blocks, bounds, materialise, mix64, release, sorted_groups, text_of, utf8
+from .common import blocks, bounds, discard, materialise, mix64, packed, release, sorted_groups, text_of, utf8
 from .components import components
 from .words import RunHash, word_hashes
 
@@ -171,9 +171,11 @@ def verified(nodes: DataFrame, pairs: DataFrame, least: float) -> DataFrame:
     pairs = materialise(pairs, "simhash-pairs")
     # repeated ids can hold several sketches: any of them serves
     ids = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    sketches = nodes.where("sketch IS NOT NULL").join(ids, "node", "left_semi").groupBy("node").agg(F.min("sketch").alias("sketch"))
+    sketches = nodes.join(ids, "node", "left_semi").groupBy("node").agg(F.min("sketch").alias("sketch"))
     a, b = sketches.toDF("a", "x"), sketches.toDF("b", "y")
-    return materialise(pairs.join(a, "a").join(b, "b").select("a", "b", "x", "y").mapInArrow(_verify(least), "a long, b long"), "simhash-sure")
+    sure = materialise(pairs.join(a, "a").join(b, "b").select("a", "b", "x", "y").mapInArrow(_verify(least), "a long, b long"), "simhash-sure")
+    discard(pairs)
+    return sure
 
 
 def near_duplicates(docs: DataFrame, least: float = SIMILAR) -> DataFrame:
@@ -194,17 +196,13 @@ def near_duplicates(docs: DataFrame, least: float = SIMILAR) -> DataFrame:
     don't matter, an empty table gives an empty one, and other columns are not read.
     """
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).where("doc_id IS NOT NULL")
-    rows = narrow.mapInArrow(_describe, "doc_id long, digest binary, prints array<long>, sketch binary")
-    same = Window.partitionBy("digest", F.when(F.col("digest").isNull(), F.col("doc_id")))
-    nodes = materialise(
-        rows.withColumn("n", F.row_number().over(same.orderBy("doc_id")))
-        .withColumn("node", F.min("doc_id").over(same))
-        .select("doc_id", "node", F.when((F.col("n") == 1) & F.col("digest").isNotNull(), F.col("prints")).alias("prints"), F.when(F.col("n") == 1, F.col("sketch")).alias("sketch")),
-        "simhash-nodes",
-    )
-    keys = nodes.where("prints IS NOT NULL").select(F.posexplode("prints").alias("t", "p"), "node")
+    rows = materialise(narrow.mapInArrow(_describe, "doc_id long, digest binary, prints array<long>, sketch binary"), "simhash-rows")
+    # one row a text, by partial aggregation: a text with any number of copies loads no task
+    texts = rows.where("digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("node"), F.any_value("prints").alias("prints"), F.any_value("sketch").alias("sketch"))
+    nodes = materialise(texts, "simhash-nodes")
+    keys = nodes.select(F.posexplode("prints").alias("t", "p"), "node")
     keys = keys.select((F.shiftleft(F.col("t").cast("long"), BITS).bitwiseOR(F.col("p"))).alias("key"), "node")
-    heads = materialise(keys.withColumn("head", F.min("node").over(Window.partitionBy("key"))).distinct(), "simhash-heads")
+    heads = materialise(keys.join(keys.groupBy("key").agg(F.min("node").alias("head")), "key"), "simhash-heads")
     first = verified(nodes, heads.where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct(), least)
     # who isn't joined to the head of a key is compared with all others of it
     rest = heads.where("node <> head").join(first.toDF("head", "node"), ["head", "node"], "left_anti").select("key", "node", "head")
@@ -220,20 +218,22 @@ def near_duplicates(docs: DataFrame, least: float = SIMILAR) -> DataFrame:
     second = verified(nodes, others.unionByName(met).distinct(), least)
     sure = first.unionByName(second)
     # rows with equal ids tie their nodes together
-    ties = nodes.where("doc_id <> node").select(F.col("node").alias("a"), F.col("doc_id").alias("b"))
+    ties = rows.select("doc_id", "digest").join(nodes.select("digest", "node"), "digest").where("doc_id <> node").select(F.col("node").alias("a"), F.col("doc_id").alias("b"))
     roots = components(sure.unionByName(ties))
+    discard(nodes, heads, rest, first, second)
     return (
-        nodes.select("doc_id").distinct().join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+        rows.select("doc_id").distinct().join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left")
         .select("doc_id", F.coalesce("root", "doc_id").alias("group_id"))
     )
 
 
 def drop_near_duplicates(docs: DataFrame, least: float = SIMILAR) -> DataFrame:
     """The rows of ``docs`` that stand for their group of ``near_duplicates``: the one with the least
-    id, and of rows with that id the first by text. Rows with a null id stay. Columns are kept."""
+    id, and of rows with that id the first by text; of equal rows one stays. Rows with a null id, and rows whose text
+    is null, empty or without words (unless their id is repeated), stay. All columns are kept, whatever their names; an empty table gives an empty one."""
     groups = near_duplicates(docs, least)
     heads = groups.where("doc_id = group_id").select(F.col("doc_id").alias("_id"))
-    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("r"), F.col("doc_id").cast("long").alias("_id"))
+    rows = docs.select(packed(docs).alias("r"), F.col("doc_id").cast("long").alias("_id"))
     first = Window.partitionBy("_id").orderBy(F.col("r.text"))
     kept = rows.where("_id IS NOT NULL").join(heads, "_id").withColumn("_n", F.row_number().over(first)).where("_n = 1")
     return kept.select("r.*").unionByName(rows.where("_id IS NULL").select("r.*"))

@@ -14,7 +14,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, labelled_sample, logistic, release
+from .common import blocks, labelled_sample, logistic, packed, release
 
 TOKEN = re.compile(r"\w+")
 #: Labelled documents that the field is trained on, at most.
@@ -30,6 +30,15 @@ PART = 100_000
 SPANS = "array<struct<start:int,end:int,probability:double>>"
 
 
+def tokens(text: str) -> tuple[list[str], str]:
+    """The tokens of a text in lower case, and the text in which they lie at the same places as in the text itself."""
+    low = text.lower()
+    if len(low) == len(text):
+        return TOKEN.findall(low), low
+    # lowering changed the length: tokens are found in the text, and lowered one by one
+    return [w.lower() for w in TOKEN.findall(text)], text
+
+
 def features(word: str) -> list[str]:
     """The features of a token: itself, its prefixes, its suffix and its shape."""
     return [word, *("^" + word[:n] for n in PREFIXES if len(word) >= n), "$" + word[-3:], "#" + str(min(len(word), 12))]
@@ -134,13 +143,14 @@ class Chain:
         return p, np.array([[(p00 * scale).sum(), (p01 * scale).sum()], [(p10 * scale).sum(), (p11 * scale).sum()]])
 
 
-def train(sample: list[tuple[str, int]], steps: int = 40, ridge: float = 1e-4) -> dict:
+def train(sample: list[tuple[str, int]], steps: int = 40, ridge: float = 1e-4, lasso: float = 4e-3) -> dict:
     """A field fitted to labelled documents: hashed emission weights, transitions, and the
-    weights that turn the expected number of toxic tokens into a document score.
+    weights that turn the expected number of toxic tokens into a document score. Emission weights
+    are fitted with both penalties, so that most are zero; these are left out, which changes nothing.
 
     With no toxic or no clean document nothing can be learned, and every score is 0.
     """
-    docs = [[*map(sys.intern, TOKEN.findall(text.lower()))] for text, _ in sample]
+    docs = [[*map(sys.intern, tokens(text)[0])] for text, _ in sample]
     toxic = [y for _, y in sample]
     if not any(toxic) or all(toxic):
         return {"w": {}, "start": np.ones(2), "transition": np.ones((2, 2)), "doc": np.array([0.0, 0.0, -30.0])}
@@ -189,23 +199,23 @@ def train(sample: list[tuple[str, int]], steps: int = 40, ridge: float = 1e-4) -
         p_first = p[first].sum()
         rate = 0.5 / (1 + i / 20)
         w[:-1] = adam("w", w[:-1], np.bincount(columns, diff[rows], len(names)) + ridge * len(y) * w[:-1] / 100, i, rate)
+        w[:-1] = np.sign(w[:-1]) * np.maximum(np.abs(w[:-1]) - rate * lasso, 0)
         w[-1:] = adam("b", w[-1:], np.array([diff.sum()]), i, rate)
         theta_t = adam("t", theta_t, pair - gold_pair, i, rate / 4)
         theta_s = adam("s", theta_s, np.array([first.sum() - p_first, p_first]) - gold_start, i, rate / 4)
-    keep = {f: float(w[i]) for f, i in names.items() if abs(w[i]) > 0.02}
-    fitted = {"w": keep, "bias": float(w[-1]), "start": np.exp(theta_s), "transition": np.exp(theta_t)}
+    fitted = {"w": {f: float(w[i]) for f, i in names.items() if w[i]}, "bias": float(w[-1]), "start": np.exp(theta_s), "transition": np.exp(theta_t)}
     x, z = [], []
     tag = Tagger(fitted)
     for lo, hi in blocks(np.array([len(t) for t, _ in sample]), BLOCK):
-        for (found, n), (_, label) in zip(tag([t for t, _ in sample[lo:hi]]), sample[lo:hi]):
-            x.append(evidence(found, n))
+        for (_, total, n), (_, label) in zip(tag([t for t, _ in sample[lo:hi]]), sample[lo:hi]):
+            x.append(evidence(total, n))
             z.append(label)
     return fitted | {"doc": logistic(np.array(x), np.array(z, float))}
 
 
-def evidence(found: list[tuple[int, int, float]], n: int) -> list[float]:
-    """What a document score rests on: the expected number of toxic tokens, and its share."""
-    total = sum(p for *_, p in found)
+def evidence(total: float, n: int) -> list[float]:
+    """What a document score rests on: the expected number of toxic tokens, which is the sum of all
+    marginals, and its share of the tokens."""
     return [np.log1p(total), np.log1p(1000 * total / max(n, 1))]
 
 
@@ -224,29 +234,27 @@ class Tagger:
         value = self.seen[word] = self.bias + sum([get(f, 0.0) for f in features(word)])
         return value
 
-    def __call__(self, texts: list[str]) -> list[tuple[list[tuple[int, int, float]], int]]:
-        """For each text, the (start, end, probability) of its toxic tokens in characters, and the
-        number of tokens. A token is toxic if its marginal is at least one half."""
-        words = [TOKEN.findall(t.lower()) for t in texts]
-        sizes = np.array([len(x) for x in words])
+    def __call__(self, texts: list[str]) -> list[tuple[list[tuple[int, int, float]], float, int]]:
+        """For each text, the (start, end, probability) of its toxic tokens in characters, the sum of the marginals of all its
+        tokens, and their number. A token is listed if its marginal is at least one half."""
+        found = [tokens(t) for t in texts]
+        sizes = np.array([len(x) for x, _ in found])
         if not self.w or not sizes.sum():
-            return [([], int(n)) for n in sizes]
+            return [([], 0.0, int(n)) for n in sizes]
         seen, emission = self.seen, self.emission
-        scores = np.array([seen[w] if w in seen else emission(w) for x in words for w in x])
+        scores = np.array([seen[w] if w in seen else emission(w) for x, _ in found for w in x])
         ends = np.cumsum(sizes)
         first = np.zeros(len(scores), bool)
         first[(ends - sizes)[sizes > 0]] = True
         p, _ = self.chain.marginals(scores, first)
+        totals = np.diff(np.concatenate(([0.0], np.cumsum(p)))[np.concatenate(([0], ends))])
         hot = np.flatnonzero(p >= 0.5)
-        out: list[tuple[list, int]] = [([], int(n)) for n in sizes]
+        out: list[tuple[list, float, int]] = [([], float(t), int(n)) for t, n in zip(totals, sizes)]
         owner = np.searchsorted(ends, hot, side="right")
         for i in np.unique(owner):
-            low = texts[i].lower()
-            # where lowering changes the length, tokens are found in the text itself
-            spans = [m.span() for m in TOKEN.finditer(low if len(low) == len(texts[i]) else texts[i])]
+            spans = [m.span() for m in TOKEN.finditer(found[i][1])]
             for j in hot[owner == i] - (ends[i] - sizes[i]):
-                if j < len(spans):
-                    out[i][0].append((*spans[j], float(p[j + ends[i] - sizes[i]])))
+                out[i][0].append((*spans[j], float(p[j + ends[i] - sizes[i]])))
         return out
 
 
@@ -259,8 +267,8 @@ def fit(documents: DataFrame, labels: DataFrame, most: int = TRAINING_DOCS) -> d
 
 def _scores(fitted: dict, tag: Tagger, texts: list[str]) -> Iterator[tuple[float, list]]:
     w = fitted["doc"]
-    for found, n in tag(texts):
-        value = 1 / (1 + np.exp(-np.clip(np.dot([*evidence(found, n), 1.0], w), -30, 30))) if found else 0.0
+    for found, total, n in tag(texts):
+        value = 1 / (1 + np.exp(-np.clip(np.dot([*evidence(total, n), 1.0], w), -30, 30))) if n else 0.0
         yield float(value), found
 
 
@@ -295,10 +303,10 @@ def score_toxicity(docs: DataFrame, fitted: dict, least: float = 0.5) -> DataFra
 
     Each token's probability of being toxic is its forward-backward marginal over the
     whole text; ``spans`` holds start and end (characters from 0) of the tokens with at least
-    one half. The document score rests on their expected number and share, and
-    ``toxic`` says whether it is at least ``least``.
+    one half. The document score rests on the sum of the marginals of all tokens, which is the expected number of toxic ones,
+    and on its share of the tokens; ``toxic`` says whether it is at least ``least``, so a score of just that is toxic.
 
-    Null and empty texts score 0; null and repeated ids pass through, each row on its own;
+    Null and empty texts, and those without tokens, score 0; null and repeated ids pass through, each row on its own;
     an empty table gives an empty one; other columns are not read.
     """
     tag = tag_column(docs.sparkSession, fitted)
@@ -307,7 +315,11 @@ def score_toxicity(docs: DataFrame, fitted: dict, least: float = 0.5) -> DataFra
 
 
 def drop_toxic(docs: DataFrame, fitted: dict, least: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` that ``score_toxicity`` doesn't call toxic, with all their columns."""
+    """The rows of ``docs`` that ``score_toxicity`` doesn't call toxic, with all their columns, whatever their names.
+
+    Null and empty texts stay, rows with null ids are treated as any others, and of repeated rows all go or all stay;
+    an empty table gives an empty one.
+    """
     tag = tag_column(docs.sparkSession, fitted)
-    r = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("r"))
+    r = docs.select(packed(docs).alias("r"))
     return r.select("r", tag(F.col("r.text").cast("string"))["score"].alias("s")).where(F.col("s") < least).select("r.*")
