@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import IndexError_
@@ -66,17 +66,111 @@ def any_of(terms: list[str]) -> str:
     return "|".join(map(regex_escape, terms))
 
 
+_POSIX = {
+    "alpha": r"\p{Alpha}", "digit": "0-9", "alnum": "0-9A-Za-z", "upper": "A-Z", "lower": "a-z", "space": r"\t\n\x0B\f\r ", "blank": r"\t ", "punct": r"!-/:-@\[-`{-~", "xdigit": "0-9A-Fa-f",
+    "word": "0-9A-Za-z_", "cntrl": r"\x00-\x1F\x7F", "graph": "!-~", "print": " -~", "ascii": r"\x00-\x7F",
+}
+_POSIX["alpha"] = "A-Za-z"
+_CATEGORY = {
+    "letter": "L", "lowercase_letter": "Ll", "uppercase_letter": "Lu", "titlecase_letter": "Lt", "modifier_letter": "Lm", "other_letter": "Lo", "number": "N", "decimal_number": "Nd",
+    "punctuation": "P", "symbol": "S", "separator": "Z", "mark": "M", "other": "C", "uppercase": "IsUppercase", "lowercase": "IsLowercase", "alphabetic": "IsAlphabetic", "any": "IsAssigned",
+}
+_PIECE = re.compile(
+    r"""\\(?P<prop>[pP])(?:\{(?P<name>[^}]*)\}|(?P<letter>\w))|\\b\{(?P<edge>start|end|start-half|end-half)\}|\\(?P<code>[xuU])(?:\{(?P<hex>[0-9A-Fa-f]+)\}|(?P<digits>[0-9A-Fa-f]+))
+    |\\(?P<escape>.)|\[:(?P<not>\^?)(?P<posix>\w+):\]|\(\?P<(?P<group>[^>]*)>|\(\?(?P<look><?[=!]|>)|\(\?(?P<flags>[a-zA-Z-]+)(?P<close>[:)])|\{,(?P<upto>\d+)\}|(?P<set>--|~~)|(?P<twice>[*+?}]\+)|(?P<other>.)""",
+    re.S | re.X,
+)
+_EDGES = {"start": r"\b(?=\w)", "end": r"\b(?<=\w)", "start-half": r"(?<!\w)", "end-half": r"(?!\w)"}
+
+
+def _piece(m: re.Match, inside: bool) -> str:
+    """A piece of a pattern in Java's spelling."""
+    if m["prop"]:
+        name = (m["name"] or m["letter"]).strip()
+        negated = (m["prop"] == "P") != name.startswith("^")
+        name = name.lstrip("^")
+        if "=" not in name and not re.fullmatch(r"[A-Z][a-z]?", name):
+            name = _CATEGORY.get(name.lower(), "Is" + name)
+        return rf"\{'P' if negated else 'p'}{{{name}}}"
+    if m["edge"]:
+        return _EDGES[m["edge"]]
+    if m["code"]:
+        digits = m["hex"] or m["digits"][: {"x": 2, "u": 4, "U": 8}[m["code"]]]
+        return rf"\x{{{digits}}}" + (m["digits"] or "")[len(digits) :]
+    if m["escape"]:
+        c = m["escape"]
+        if c in "<>" and not inside:
+            return _EDGES["start" if c == "<" else "end"]
+        if c == "v":
+            return r"\x0B"
+        if c in "123456789kgGQEZRXhHVNec0" or (c.isalpha() and c not in "afnrtdDsSwWbBAz"):
+            raise IndexError_(f"bad regex: \\{c} is not supported")
+        return m[0]
+    if m["posix"]:
+        if not inside or m["posix"] not in _POSIX:
+            return "".join("\\" + c if c in "[]^" else c for c in m[0]) if inside else m[0]
+        body = _POSIX[m["posix"]]
+        return f"[^{body}]" if m["not"] else body
+    if m["group"] is not None:
+        return f"(?<{re.sub('[^A-Za-z0-9]', 'x', m['group']) or 'x'}>" if not inside else m[0]
+    if m["look"] and not inside:
+        raise IndexError_("bad regex: look-around and atomic groups are not supported")
+    if m["flags"] and not inside:
+        if set(m["flags"]) - set("imsxUuR-"):
+            raise IndexError_(f"bad regex: unknown flag in {m[0]}")
+        on, _, off = m["flags"].partition("-")  # which match is taken, and Unicode, make no difference to whether there is one
+        on, off = ("".join(f for f in x if f in "imsx") for x in (on, off))
+        if not on and not off:
+            return "" if m["close"] == ")" else "(?:"
+        return f"(?{on}{'-' + off if off else ''}{m['close']}"
+    if m["upto"]:
+        return f"{{0,{m['upto']}}}" if not inside else m[0]
+    if m["set"] and inside:
+        raise IndexError_("bad regex: differences of classes are not supported")
+    if m["twice"] and not inside:
+        raise IndexError_("bad regex: possessive repeats are not supported")
+    return m[0]
+
+
 def java_pattern(pattern: str, case_insensitive: bool = False, multi_line: bool = False) -> str:
-    """The pattern with Unicode classes and only ``\\n`` as a line end. Constructs that a linear-time
-    matcher lacks are refused, as are malformed patterns that Python can tell."""
-    bare = re.sub(r"\\\\|\[(?:\\.|[^\]\\])*\]", "", pattern)
-    if re.search(r"\(\?<?[=!]|\(\?>|\\[1-9]|\\k<|[*+?}]\+", bare):
-        raise IndexError_(f"bad regex: look-around, back references and possessive repeats are not supported: {pattern}")
-    try:
-        re.compile(re.sub(r"\\[pP](?:\{\^?\w+\}|\w)|\\[hHRXzZ]", "x", pattern.replace("(?<", "(?P<")))
-    except re.error as error:
-        raise IndexError_(f"bad regex: {error}") from error
-    return f"(?dU{'i' if case_insensitive else ''}{'m' if multi_line else ''})" + pattern
+    """The pattern in Java's dialect, with Unicode classes and only ``\\n`` as a line end.
+
+    POSIX classes, ``(?P<name>``, ``\\u{..}``, Unicode properties, word edges and flags within a pattern are translated. What a
+    linear-time matcher lacks (look-around, back references, atomic groups, possessive repeats) is refused, and the rest is
+    checked by Java itself where a session is there.
+    """
+    out, at, depth = [], 0, 0
+    named: set[str] = set()
+    while at < len(pattern):
+        m = _PIECE.match(pattern, at)
+        if m is None:
+            raise IndexError_(f"bad regex: trailing backslash in {pattern}")
+        if m["posix"] and not depth or (m["set"] or m["twice"]) and (depth == 0) == bool(m["set"]):
+            piece, at = pattern[at], at + 1  # of no meaning here: one character at a time
+        else:
+            piece, at = _piece(m, depth > 0), m.end()
+        if m["group"] is not None and not depth:
+            if m["group"] in named:
+                raise IndexError_(f"bad regex: two groups are named {m['group']}")
+            named.add(m["group"])
+            piece = piece if re.fullmatch(r"\(\?<[A-Za-z][A-Za-z0-9]*>", piece) and len(named) == 1 else f"(?<x{len(named)}>"
+        if piece == "[":
+            depth += 1
+            if pattern[at : at + 1] == "^":
+                piece, at = "[^", at + 1
+            if pattern[at : at + 1] == "]":  # a bracket that comes first is one of the class
+                piece, at = piece + "\\]", at + 1
+        elif piece == "]" and depth:
+            depth -= 1
+        out.append(piece)
+    made = f"(?dU{'i' if case_insensitive else ''}{'m' if multi_line else ''})" + "".join(out)
+    session = SparkSession.getActiveSession()
+    if session is not None and hasattr(session, "_jvm"):
+        try:
+            session._jvm.java.util.regex.Pattern.compile(made)
+        except Exception as error:
+            raise IndexError_(f"bad regex: {pattern}") from error
+    return made
 
 
 def case_variants(name: str) -> list[str]:

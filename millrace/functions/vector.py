@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 
 def dot(a: Column, b: Column) -> Column:
-    """The scalar product in double precision; null where a length differs."""
+    """The scalar product in double precision: null where a vector is null, an error where lengths differ."""
     product = F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double"))
-    return F.when(F.size(a) == F.size(b), F.aggregate(product, F.lit(0.0), lambda s, x: s + x))
+    wrong = F.raise_error(F.lit("vectors differ in length")).cast("double")
+    return F.when(a.isNull() | b.isNull(), None).when(F.size(a) == F.size(b), F.aggregate(product, F.lit(0.0), lambda s, x: s + x)).otherwise(wrong)
 
 
 def norm(a: Column) -> Column:

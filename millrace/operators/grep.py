@@ -2,19 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 from ..functions.text import java_pattern
-from ..schema import SIGNALS, place, text
+from ..schema import SIGNALS, place, text, utf8
 
 MAX_OBJECT_BYTES = 64 << 20
 #: A path segment that begins with a dot and is longer than it.
 HIDDEN = r"(^|/)\.[^/]+"
+#: White space of Unicode, which ends no snippet.
+BLANKS = "\t\n\x0b\f\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 _LITERAL_META = set(".+*?()|[]{}^$\\")
 
 
@@ -24,64 +25,66 @@ def visible(corpus: DataFrame, max_object_bytes: int = MAX_OBJECT_BYTES, skip_hi
     return kept.where(~F.col("uri").rlike(HIDDEN)) if skip_hidden else kept
 
 
+@F.arrow_udf(ArrayType(IntegerType()))
+def _line_starts(contents: pa.Array) -> pa.Array:
+    """Where the lines of each content begin, in bytes, with its length at the end: one more number than ``split`` has parts."""
+    data, at = utf8(contents.fill_null(""))
+    feeds = np.flatnonzero(data == 10)
+    first = np.searchsorted(feeds, at)
+    count = np.diff(first)
+    ends = np.concatenate(([0], np.cumsum(count + 2)))
+    out = np.zeros(ends[-1], np.int32)
+    out[ends[1:] - 1] = np.diff(at)
+    own = np.repeat(np.arange(len(count)), count)
+    out[ends[own] + 1 + np.arange(len(feeds)) - first[own]] = feeds + 1 - at[own]
+    return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(out))
+
+
 def lines(corpus: DataFrame) -> DataFrame:
     """(uri, line_no, line, start, end) for every line, numbered from 1.
 
     ``start`` and ``end`` are byte offsets; ``end`` includes the line feed, which a last line may lack. A final
     line feed begins no further line, and null or empty contents have none. Offsets are counted within the row, without a shuffle.
     """
+    return matching_lines(corpus, None)
+
+
+def matching_lines(corpus: DataFrame, keep: Column | None, extra: dict[str, Column] | None = None, stamp_hash: bool = False) -> DataFrame:
+    """(uri, line_no, line, start, end, ...) of the lines for which ``keep`` holds, with the ``content_hash`` of
+    their file where it is wanted.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for uri, item in zip(batch.column(0).to_pylist(), batch.column(1)):
-                raw = item.as_py()
-                data = np.frombuffer(raw, np.uint8)
-                ends = np.flatnonzero(data == 10) + 1
-                if not len(ends) or ends[-1] < len(data):
-                    ends = np.append(ends, len(data))
-                starts = np.concatenate(([0], ends[:-1]))
-                rows = [raw[s:e].removesuffix(b"\n").decode("utf-8", "replace") for s, e in zip(starts.tolist(), ends.tolist())]
-                yield pa.record_batch(
-                    [pa.array([uri] * len(rows), pa.string()), pa.array(np.arange(1, len(rows) + 1), pa.int32()), pa.array(rows, pa.string()), pa.array(starts, pa.int64()), pa.array(ends, pa.int64())],
-                    names=["uri", "line_no", "line", "start", "end"],
-                )
-
-    whole = corpus.select("uri", F.col("content").cast("binary").alias("content")).where(F.octet_length("content") > 0)
-    return whole.mapInArrow(run, "uri string, line_no int, line string, start long, end long")
-
-
-def matching_lines(corpus: DataFrame, keep: Column | None, extra: dict[str, Column] | None = None) -> DataFrame:
-    """(uri, line_no, line, start, end, content, ...) of the lines for which ``keep`` holds.
-
-    Everything stays in generated code: offsets are taken from the text before a line, and for the kept lines only.
+    Time is linear in the size of a file, however many lines match: all offsets of a file come from one pass over its bytes, its
+    hash is taken once, before its lines become rows, and the contents stay behind then. Lines are split and matched within generated code.
     """
-    t = text(F.col("content"))
-    rows = corpus.select("uri", "content", F.posexplode(F.split(t, "\n", -1)).alias("pos", "line"))
+    t = text(corpus["content"])
+    digest = [F.concat(F.lit("sha256:"), F.sha2(corpus["content"].cast("binary"), 256)).alias("content_hash")] if stamp_hash else []
+    held = corpus.select("uri", t.alias("_t"), _line_starts(t).alias("_starts"), *digest)
+    kept = [F.col("content_hash")] if stamp_hash else []
+    rows = held.select("uri", "_starts", *kept, F.posexplode(F.split("_t", "\n", -1)).alias("pos", "line"))
     for name, column in (extra or {}).items():
         rows = rows.withColumn(name, column)
     if keep is not None:
         rows = rows.where(keep)
-    total = F.octet_length("content")
-    start = F.when(F.col("pos") == 0, F.lit(0)).otherwise(F.octet_length(F.call_function("substring_index", t, F.lit("\n"), F.col("pos"))) + 1)
-    end = F.least(F.octet_length(F.call_function("substring_index", t, F.lit("\n"), F.col("pos") + 1)) + 1, total)
-    rows = rows.select("uri", (F.col("pos") + 1).alias("line_no"), "line", start.cast("long").alias("start"), end.cast("long").alias("end"), "content", *(extra or {}))
-    return rows.where(F.col("start") < total)  # what follows a final line feed is no line
+    total = F.element_at("_starts", -1)
+    start, end = F.get("_starts", F.col("pos")), F.get("_starts", F.col("pos") + 1)
+    # what follows a final line feed is no line; the offsets are never null, and no filter on them need go below
+    rows = rows.where(F.coalesce(start < total, F.lit(False)))
+    return rows.select("uri", (F.col("pos") + 1).alias("line_no"), "line", start.cast("long").alias("start"), end.cast("long").alias("end"), *kept, *(extra or {}))
 
 
-def as_spans(rows: DataFrame, stamp_hash: bool = False, *extra: str) -> DataFrame:
+def as_spans(rows: DataFrame, *extra: str) -> DataFrame:
     """Line spans from ``matching_lines``."""
-    digest = F.concat(F.lit("sha256:"), F.sha2(F.col("content").cast("binary"), 256)) if stamp_hash else F.lit(None).cast("string")
     return rows.select(
         "uri",
         F.struct(F.col("start"), F.col("end")).alias("byte_range"),
         F.array("line_no", "line_no").alias("line_range"),
         F.lit(None).cast("string").alias("symbol"),
         F.lit("line").alias("kind"),
-        F.regexp_replace("line", r"(?U)\s+$", "").alias("snippet"),
+        F.rtrim("line", F.lit(BLANKS)).alias("snippet"),
         F.lit(1.0).alias("score"),
         F.lit(None).cast(SIGNALS).alias("rank_signals"),
         F.lit("grep").alias("source_stage"),
-        digest.alias("content_hash"),
+        F.col("content_hash") if "content_hash" in rows.columns else F.lit(None).cast("string").alias("content_hash"),
         F.lit(False).alias("truncated"),
         *extra,
     )
@@ -91,18 +94,19 @@ def grep(
     corpus: DataFrame, pattern: str, *, case_insensitive: bool = False, multi_line: bool = False, max_hits: int | None = 1000,
     max_hits_per_file: int | None = None, stamp_hash: bool = False, max_object_bytes: int = MAX_OBJECT_BYTES, skip_hidden: bool = True,
 ) -> DataFrame:
-    """One span for each line that matches, in order of uri, line and byte, at most ``max_hits``.
+    """One span for each line that matches: the first ``max_hits`` in order of uri, line and byte.
 
+    Without ``max_hits`` all come, in no order across files, so that nothing is shuffled (``sorted_spans`` gives the order).
     Matching is by line, whatever ``multi_line`` says, which only sets the flag of the pattern.
     """
     files = visible(corpus, max_object_bytes, skip_hidden)
     if pattern and not case_insensitive and not set(pattern) & _LITERAL_META:
         files = files.where(F.contains(text(F.col("content")), F.lit(pattern)))  # reaches the scan
-    hits = as_spans(matching_lines(files, F.col("line").rlike(java_pattern(pattern, case_insensitive, multi_line))), stamp_hash)
+    hits = as_spans(matching_lines(files, F.col("line").rlike(java_pattern(pattern, case_insensitive, multi_line)), stamp_hash=stamp_hash))
     if max_hits_per_file is not None:
         nth = F.row_number().over(Window.partitionBy("uri").orderBy(F.col("line_range")[0]))
         hits = hits.withColumn("_n", nth).where(F.col("_n") <= max_hits_per_file).drop("_n")
-    return sorted_spans(hits, max_hits)
+    return hits if max_hits is None else sorted_spans(hits, max_hits)
 
 
 def sorted_spans(spans: DataFrame, limit: int | None = None) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -12,9 +12,8 @@ from pyspark.sql import functions as F
 from ..checkpoint import written
 from ..errors import IndexError_
 from ..functions.vector import normalize
+from .matrix import PRODUCT, Slices, rows_of
 
-#: Largest centroid matrix that is sent to every task; beyond it assignment is a join.
-CENTROID_BYTES = 64 << 20
 SCHEMA = "doc_id long, vector array<double>, cluster_id int"
 
 
@@ -43,62 +42,86 @@ def seeds(vectors: DataFrame, k: int) -> tuple[DataFrame, np.ndarray]:
         raise IndexError_("no vectors")
     if not 0 < k <= n:
         raise IndexError_(f"k must be between 1 and {n}")
-    wanted = [min(i * (n // k), n - 1) for i in range(k)]
-    rows = placed.where(F.col("pos").isin(wanted)).orderBy("pos").select("vector").collect()  # k rows
-    if len({len(r[0]) for r in rows}) > 1:
-        raise IndexError_("vectors differ in length")
-    return placed, np.array([r[0] for r in rows], float)
+    step = n // k
+    rows = placed.where((F.col("pos") % step == 0) & (F.col("pos") < k * step)).select("pos", "vector").toArrow().sort_by("pos")  # k rows
+    return placed, rows_of(rows.column("vector"))
+
+
+def _nearest(x: np.ndarray, held: Slices) -> np.ndarray:
+    """The row of the greatest scalar product, the first of equal ones, slice by slice."""
+    most, at = np.full(len(x), -np.inf), np.zeros(len(x), np.int32)
+    for start, c in held:
+        step = max(1, PRODUCT // len(c))
+        for i in range(0, len(x), step):
+            # products are rounded, so that the order of summation can't decide between equal ones
+            product = np.round(x[i : i + step] @ c.T, 12)
+            j = np.argmax(product, axis=1)
+            value = product[np.arange(len(j)), j]
+            better = value > most[i : i + step]
+            most[i : i + step][better], at[i : i + step][better] = value[better], (start + j[better]).astype(np.int32)
+    return at
+
+
+def _vectors(vectors: DataFrame) -> DataFrame:
+    return vectors.select("doc_id", F.col("vector").cast("array<double>").alias("vector"))
 
 
 def assign(vectors: DataFrame, centroids: np.ndarray) -> DataFrame:
-    """``vectors(doc_id, vector)`` with the cluster of the greatest scalar product, the least id of equal ones."""
-    if centroids.nbytes > CENTROID_BYTES:
-        table = vectors.sparkSession.createDataFrame([(i, c.tolist()) for i, c in enumerate(centroids)], "cluster_id int, c array<double>")
-        from ..functions.vector import dot
+    """``vectors(doc_id, vector)`` with the cluster of the greatest scalar product, the least id of equal ones.
 
-        scored = vectors.crossJoin(table).withColumn("s", F.struct(dot(F.col("vector"), F.col("c")).alias("s"), (-F.col("cluster_id")).alias("i")))
-        return scored.groupBy("doc_id").agg(F.any_value("vector").alias("vector"), (-F.max("s")["i"]).cast("int").alias("cluster_id"))
-    held = vectors.sparkSession.sparkContext.broadcast(centroids)
+    The centroids are sent to the tasks in slices, so that any number of them is compared as matrix products, without a join.
+    """
+    held = Slices(vectors.sparkSession, centroids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = held.value.T
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            x = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(batch.num_rows, -1)
-            # products are rounded, so that the order of summation can't decide between equal ones
-            best = np.argmax(np.round(x @ c, 12), axis=1).astype(np.int32)
-            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(best)], names=["doc_id", "vector", "cluster_id"])
+            if batch.num_rows:
+                yield pa.record_batch([batch.column(0), batch.column(1), pa.array(_nearest(rows_of(batch.column(1)), held))], names=["doc_id", "vector", "cluster_id"])
 
-    return vectors.select("doc_id", F.col("vector").cast("array<double>").alias("vector")).mapInArrow(run, SCHEMA)
+    return _vectors(vectors).mapInArrow(run, SCHEMA)
 
 
-def update(assigned: DataFrame, old: np.ndarray) -> np.ndarray:
-    """Means of the clusters at unit length; an empty cluster keeps its centroid.
+def update(vectors: DataFrame, old: np.ndarray) -> np.ndarray:
+    """The means, at unit length, of the vectors that ``assign`` would give each cluster; an empty cluster keeps its centroid.
 
-    Partitions sum their own vectors first, so that only k rows a partition are shuffled.
+    One scan: tasks assign their vectors and sum them, so that at most k rows a task are shuffled; these are
+    summed by cluster, and k rows come to the driver.
     """
+    held = Slices(vectors.sparkSession, old)
+    schema = "cluster_id int, total array<double>, n long"
 
-    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def packed(used: np.ndarray, total: np.ndarray, count: np.ndarray) -> pa.RecordBatch:
+        flat = pa.ListArray.from_arrays(pa.array(np.arange(len(used) + 1, dtype=np.int32) * total.shape[1]), pa.array(total[used].ravel()))
+        return pa.record_batch([pa.array(used.astype(np.int32)), flat, pa.array(count[used])], names=["cluster_id", "total", "n"])
+
+    def summed(batches: Iterator[pa.RecordBatch], own: Callable) -> Iterator[pa.RecordBatch]:
         total, count = np.zeros_like(old), np.zeros(len(old), np.int64)
         for batch in batches:
             if batch.num_rows:
-                x = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
-                at = batch.column(1).to_numpy()
-                np.add.at(total, at, x)
-                np.add.at(count, at, 1)
-        used = np.flatnonzero(count)
-        yield pa.record_batch([pa.array(used.astype(np.int32)), pa.array(total[used].tolist(), pa.list_(pa.float64())), pa.array(count[used])], names=["cluster_id", "total", "n"])
-
-    sums = assigned.select("vector", "cluster_id").mapInArrow(partial, "cluster_id int, total array<double>, n long")
-    flat = sums.select("cluster_id", "n", F.posexplode("total").alias("i", "x")).groupBy("cluster_id", "i").agg((F.sum("x") / F.sum("n")).alias("m"))
+                x, at, n = own(batch)
+                order = np.argsort(at, kind="stable")
+                first = np.concatenate(([0], np.flatnonzero(np.diff(at[order])) + 1))
+                total[at[order][first]] += np.add.reduceat(x[order], first, axis=0)
+                count[at[order][first]] += np.add.reduceat(n[order], first)
+        yield packed(np.flatnonzero(count), total, count)
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def own(batch):
+            x = rows_of(batch.column(1))
+            return x, _nearest(x, held), np.ones(len(x), np.int64)
+
+        return summed(batches, own)
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return summed(batches, lambda b: (rows_of(b.column(1)), b.column(0).to_numpy(), b.column(2).to_numpy()))
+
+    sums = _vectors(vectors).mapInArrow(partial, schema).repartition("cluster_id").mapInArrow(merge, schema).toArrow()  # k rows
     new = old.copy()
-    for cluster, i, m in flat.collect():  # k x dim numbers
-        new[cluster, i] = m
-    length = np.maximum(np.sqrt((new * new).sum(1, keepdims=True)), 1e-12)
-    moved = np.zeros(len(old), bool)
-    moved[[r[0] for r in sums.select("cluster_id").distinct().collect()]] = True
-    return np.where(moved[:, None], new / length, old)
+    if sums.num_rows:
+        at = sums.column("cluster_id").to_numpy()
+        mean = rows_of(sums.column("total")) / sums.column("n").to_numpy()[:, None]
+        new[at] = mean / np.maximum(np.sqrt((mean * mean).sum(1, keepdims=True)), 1e-12)
+    return new
 
 
 def train(vectors: DataFrame, k: int, iters: int = 8) -> tuple[np.ndarray, DataFrame]:
@@ -108,11 +131,10 @@ def train(vectors: DataFrame, k: int, iters: int = 8) -> tuple[np.ndarray, DataF
     """
     placed, centroids = seeds(vectors.select("doc_id", F.col("vector").cast("array<double>").alias("vector")), k)
     rows = placed.select("doc_id", "vector")
-    assigned = rows.withColumn("cluster_id", F.lit(0))
+    before = None
     for _ in range(iters):
-        assigned = assign(rows, centroids)
-        centroids = update(assigned, centroids)
-    return centroids, assigned
+        before, centroids = centroids, update(rows, centroids)
+    return centroids, rows.withColumn("cluster_id", F.lit(0)) if before is None else assign(rows, before)
 
 
 def unit_vectors(df: DataFrame, doc_id: str, vector: str) -> DataFrame:

@@ -9,17 +9,41 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.vector import dot, normalize
 from ..schema import SIGNALS
+from .matrix import PRODUCT, Slices, rows_of, top, unit
+
+
+#: Bytes of queries that are sent to every task at a time; more are taken in so many parts.
+QUERY_BYTES = 64 << 20
+FOUND = "query_id long, doc_id long, score double"
+
+
+def _parts(queries: DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Ids and unit vectors of a stated set of queries, in parts of QUERY_BYTES at most, about."""
+    n, size = queries.agg(F.count("*"), F.coalesce(F.sum(F.size("vector")), F.lit(0))).first()
+    parts = max(1, -(-8 * size // QUERY_BYTES))
+    rows = queries.select(F.col("query_id").cast("long").alias("query_id"), F.col("vector").cast("array<double>").alias("vector"))
+    for i in range(parts if n else 0):
+        part = (rows if parts == 1 else rows.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == i)).toArrow()
+        if part.num_rows:
+            yield part.column("query_id").to_numpy(), unit(rows_of(part.column("vector")))
 
 
 def knn_exact(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """(query_id, doc_id, score, rank) by brute force over ``vectors(doc_id, vector)`` and ``queries(query_id,
-    vector)``; equal scores go by doc_id. Each task keeps its own best k of every query, and only those are shuffled."""
-    k = max(k, 1)
-    unit = queries.select("query_id", normalize(F.col("vector")).alias("q"))
-    rows = vectors.select("doc_id", normalize(F.col("vector")).alias("v")).crossJoin(unit).select("query_id", "doc_id", F.round(dot(F.col("q"), F.col("v")), 9).alias("score"))
-    return best(rows, k)
+    """(query_id, doc_id, score, rank) by brute force over ``vectors(doc_id, vector)`` and a stated set of ``queries(query_id,
+    vector)``; equal scores go by doc_id.
+
+    Queries are taken in blocks as matrix products; each task keeps its own best k of every query over all its
+    vectors, and only those are shuffled.
+    """
+    k, out = max(k, 1), None
+    for ids, q in _parts(queries):
+        part = _scored(vectors, q, ids, k)
+        out = part if out is None else out.unionByName(part)
+    return best(vectors.sparkSession.createDataFrame([], FOUND) if out is None else out, k)
+
+
+knn_batch = knn_exact
 
 
 def best(scored: DataFrame, k: int) -> DataFrame:
@@ -27,58 +51,116 @@ def best(scored: DataFrame, k: int) -> DataFrame:
     return scored.withColumn("rank", nth).where(F.col("rank") <= k)
 
 
-def probe_clusters(queries: DataFrame, centroids: DataFrame, probe: int) -> DataFrame:
-    """(query_id, q, cluster_id): the ``probe`` clusters whose centroids are nearest, at least one."""
-    unit = queries.select("query_id", normalize(F.col("vector")).alias("q"))
-    # rounded, so that the order of summation can't decide between equal scores
-    scored = unit.crossJoin(centroids).withColumn("s", F.round(dot(F.col("q"), F.col("centroid")), 9))
-    nth = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("s"), "cluster_id"))
-    return scored.withColumn("_n", nth).where(F.col("_n") <= max(probe, 1)).select("query_id", "q", "cluster_id")
+class _Best:
+    """The best k of each query over the batches of a task."""
 
+    def __init__(self, n: int, k: int):
+        self.k, self.score, self.doc = k, np.full((n, k), -np.inf), np.full((n, k), np.iinfo(np.int64).max)
 
-def search_clusters(clusters: DataFrame, centroids: DataFrame, queries: DataFrame, k: int, probe: int = 8) -> DataFrame:
-    """(query_id, doc_id, score, rank) from the probed clusters only; these are pruned at the scan where ``clusters`` is
-    partitioned by cluster_id. An empty cluster gives no rows."""
-    chosen = probe_clusters(queries, centroids, probe)
-    rows = clusters.join(chosen, "cluster_id").select("query_id", "doc_id", F.round(dot(F.col("q"), F.col("vector")), 9).alias("score"))
-    return best(rows, max(k, 1))
+    def add(self, rows: np.ndarray, scores: np.ndarray, docs: np.ndarray) -> None:
+        s, d = top(scores, docs, self.k)
+        self.score[rows], self.doc[rows] = top(np.hstack([self.score[rows], s]), np.hstack([self.doc[rows], d]), self.k)
 
+    def batch(self, ids: np.ndarray) -> pa.RecordBatch:
+        row, col = np.nonzero(self.score > -np.inf)
+        return pa.record_batch([pa.array(ids[row]), pa.array(self.doc[row, col]), pa.array(self.score[row, col])], names=["query_id", "doc_id", "score"])
 
-#: Largest batch of queries, in bytes, that is sent to every task.
-QUERY_BYTES = 64 << 20
 
+def _scored(vectors: DataFrame, queries: np.ndarray, ids: np.ndarray, k: int) -> DataFrame:
+    held = vectors.sparkSession.sparkContext.broadcast((queries, ids))
 
-def knn_batch(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """``knn_exact``, as matrix products where the queries are small enough to be sent to every task. Their size is
-    counted first; beyond QUERY_BYTES they are joined."""
-    n, size = queries.agg(F.count("*"), F.coalesce(F.sum(F.size("vector")), F.lit(0))).first()
-    if not n or 8 * size > QUERY_BYTES or queries.select(F.size("vector").alias("d")).distinct().count() > 1:
-        return knn_exact(vectors, queries, k)
-    rows = queries.collect()
-    return batch_scores(vectors, np.array([r["vector"] for r in rows], float), [r["query_id"] for r in rows], max(k, 1))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        q, names = held.value
+        found = _Best(len(q), k)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x, doc = unit(rows_of(batch.column(1))).T, batch.column(0).to_numpy()
+            step = max(1, PRODUCT // batch.num_rows)
+            for i in range(0, len(q), step):
+                # rounded, so that the order of summation can't decide between equal scores
+                found.add(np.arange(i, min(i + step, len(q))), np.round(q[i : i + step] @ x, 9), doc)
+        yield found.batch(names)
+
+    return vectors.select(F.col("doc_id").cast("long"), F.col("vector").cast("array<double>")).mapInArrow(run, FOUND)
 
 
-def batch_scores(vectors: DataFrame, queries: np.ndarray, ids: list[int], k: int) -> DataFrame:
-    """``knn_exact`` for a bounded batch of queries as one matrix product a batch of rows."""
-    held = vectors.sparkSession.sparkContext.broadcast((np.asarray(queries, float), ids))
+def probe_clusters(queries: DataFrame, centroids: DataFrame, probe: int) -> DataFrame:
+    """(query_id, q, cluster_id): the ``probe`` clusters whose centroids are nearest, at least one.
+
+    A product of each batch of queries with the centroids, of which only the best ``probe`` leave the task: no shuffle.
+    """
+    table = centroids.select(F.col("cluster_id").cast("long"), F.col("centroid").cast("array<double>")).toArrow()  # k rows
+    names = table.column(0).to_numpy()
+    held = Slices(queries.sparkSession, rows_of(table.column(1)))
+    probe = min(max(probe, 1), max(1, len(names)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        q, names = held.value
-        q = q / np.maximum(np.sqrt((q * q).sum(1, keepdims=True)), 1e-12)
         for batch in batches:
-            if not batch.num_rows:
+            if not batch.num_rows or not len(names):
                 continue
-            x = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(batch.num_rows, -1)
-            x = x / np.maximum(np.sqrt((x * x).sum(1, keepdims=True)), 1e-12)
-            doc = batch.column(0).to_numpy()
-            s = np.round(q @ x.T, 9)
-            order = np.lexsort((np.broadcast_to(doc, s.shape), -s), axis=1)[:, :k]
+            q = unit(rows_of(batch.column(1)))
+            found = _Best(len(q), probe)
+            for start, c in held:
+                step = max(1, PRODUCT // len(c))
+                for i in range(0, len(q), step):
+                    found.add(np.arange(i, min(i + step, len(q))), np.round(q[i : i + step] @ c.T, 9), names[start : start + len(c)])
+            at = np.repeat(np.arange(len(q)), probe)
             yield pa.record_batch(
-                [pa.array(np.repeat(names, order.shape[1]), pa.int64()), pa.array(doc[order].ravel(), pa.int64()), pa.array(np.take_along_axis(s, order, 1).ravel())],
-                names=["query_id", "doc_id", "score"],
+                [batch.column(0).take(pa.array(at)), pa.array(q.tolist(), pa.list_(pa.float64())).take(pa.array(at)), pa.array(found.doc.ravel().astype(np.int32))], names=["query_id", "q", "cluster_id"]
             )
 
-    return best(vectors.select(F.col("doc_id").cast("long"), "vector").mapInArrow(run, "query_id long, doc_id long, score double"), k)
+    return queries.select(F.col("query_id").cast("long"), F.col("vector").cast("array<double>")).mapInArrow(run, "query_id long, q array<double>, cluster_id int")
+
+
+#: Clusters that are named one by one to the scan, so that it skips all others.
+PRUNED = 2000
+
+
+def search_clusters(clusters: DataFrame, centroids: DataFrame, queries: DataFrame, k: int, probe: int = 8) -> DataFrame:
+    """(query_id, doc_id, score, rank) from the probed clusters only; these are pruned at the scan where ``clusters`` is
+    partitioned by cluster_id or has statistics of it. An empty cluster gives no rows.
+
+    Clusters are searched where they lie: the queries and the numbers of their clusters are sent there in parts of QUERY_BYTES, each task keeps the
+    best k of every query, and only those are shuffled.
+    """
+    k, out = max(k, 1), None
+    spark = clusters.sparkSession
+    for ids, q in _parts(queries):
+        # the part's queries again, as rows: what goes to the driver is a few numbers a query
+        rows = queries.where(F.col("query_id").isin(ids.tolist())) if len(ids) <= PRUNED else queries.join(F.broadcast(spark.createDataFrame(pa.table({"query_id": ids}))), "query_id", "left_semi")
+        chosen = probe_clusters(rows, centroids, probe).select("query_id", "cluster_id").toArrow()
+        cluster = chosen.column("cluster_id").to_numpy()
+        order = np.argsort(ids, kind="stable")
+        row = order[np.searchsorted(ids, chosen.column("query_id").to_numpy(), sorter=order)]
+        by = np.argsort(cluster, kind="stable")
+        wanted, first = np.unique(cluster[by], return_index=True)
+        lists = dict(zip(wanted.tolist(), np.split(row[by], first[1:]))) if len(by) else {}
+        pruned = clusters.where(F.col("cluster_id").isin(wanted.tolist())) if len(wanted) <= PRUNED else clusters
+        part = _in_clusters(pruned, q, ids, lists, k)
+        out = part if out is None else out.unionByName(part)
+    return best(spark.createDataFrame([], FOUND) if out is None else out, k)
+
+
+def _in_clusters(clusters: DataFrame, queries: np.ndarray, ids: np.ndarray, lists: dict[int, np.ndarray], k: int) -> DataFrame:
+    held = clusters.sparkSession.sparkContext.broadcast((queries, ids, lists))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        q, names, rows_by = held.value
+        found = _Best(len(q), k)
+        for batch in batches:
+            cluster = batch.column(2).to_numpy()
+            for c in np.unique(cluster).tolist():
+                if c not in rows_by:
+                    continue
+                own = np.flatnonzero(cluster == c)
+                x, doc = rows_of(batch.column(1).take(pa.array(own))).T, batch.column(0).to_numpy()[own]
+                rows, step = rows_by[c], max(1, PRODUCT // len(own))
+                for i in range(0, len(rows), step):
+                    found.add(rows[i : i + step], np.round(q[rows[i : i + step]] @ x, 9), doc)
+        yield found.batch(names)
+
+    return clusters.select(F.col("doc_id").cast("long"), F.col("vector").cast("array<double>"), F.col("cluster_id").cast("int")).mapInArrow(run, FOUND)
 
 
 def recall(found: DataFrame, truth: DataFrame, k: int) -> DataFrame:
@@ -96,6 +178,12 @@ def ranking_metrics(ranked: DataFrame, gold: DataFrame, k: int = 10) -> DataFram
     return every.agg(zero(1.0 / F.col("r")).alias("mrr"), zero(1.0 / F.log2(F.col("r") + 1)).alias("ndcg"), F.avg(F.col("r").isNotNull().cast("double")).alias("recall"))
 
 
+def percentiles(millis: list[float]) -> dict[str, float]:
+    """Mean and nearest-rank percentiles of latencies; nothing of an empty list."""
+    x = sorted(millis)
+    return {"mean": sum(x) / len(x), **{f"p{p}": x[int(p / 100 * (len(x) - 1) + 0.5)] for p in (50, 95, 99)}} if x else {}
+
+
 def hit_spans(hits: DataFrame, docs: DataFrame) -> DataFrame:
     """Vector hits as block spans, with ``query_id`` and ``rank``; hits without metadata go."""
     rows = hits.join(docs, "doc_id")

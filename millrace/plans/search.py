@@ -51,20 +51,17 @@ def probes(query: str, terms: list[str]) -> list[str]:
 def probe_spans(corpus: DataFrame, patterns: list[str], cap: int, ast: bool = True) -> DataFrame:
     """The spans of all probes with ``list`` and ``rank``, from one scan of the corpus: ranks follow the order of places.
 
-    Each probe's hits are capped by place before they are widened.
+    A line becomes a row for each probe that it matches. Each probe's hits are capped by place, within the tasks first,
+    before they are widened.
     """
-    flags: dict[str, Column] = {f"_p{i}": F.col("line").rlike(java_pattern(p, True)) for i, p in enumerate(patterns)}
-    some = None
-    for name in flags:
-        some = F.col(name) if some is None else some | F.col(name)
-    rows = as_spans(matching_lines(visible(corpus), some, flags), ast, *flags)
-    lists = None
-    for i, name in enumerate(flags):
-        part = rows.where(name).drop(*flags).orderBy(*place()).limit(cap).withColumn("list", F.lit(i))
-        lists = part if lists is None else lists.unionByName(part)
-    if ast:
-        lists = widen(lists, corpus, "list")
-    return lists.withColumn("rank", F.row_number().over(Window.partitionBy("list").orderBy(*place())))
+    matched = F.array(*[F.when(F.col("line").rlike(java_pattern(p, True)), F.lit(i)) for i, p in enumerate(patterns)])
+    rows = matching_lines(visible(corpus), None, {"_lists": F.array_compact(matched)}, stamp_hash=ast)
+    rows = as_spans(rows.select("*", F.explode("_lists").alias("list")), "list")
+    nth = F.row_number().over(Window.partitionBy("list").orderBy(*place()))
+    lists = rows.withColumn("rank", nth).where(F.col("rank") <= cap)
+    if not ast:
+        return lists
+    return widen(lists.drop("rank"), corpus, "list").withColumn("rank", nth)
 
 
 def search(corpus: DataFrame, query: str, k: int = 20, ast: bool = True) -> DataFrame:
@@ -76,6 +73,44 @@ def search(corpus: DataFrame, query: str, k: int = 20, ast: bool = True) -> Data
     return rank(fuse(probe_spans(corpus, probes(query, terms), cap, ast), cap), query, terms, k)
 
 
+def search_within(corpus: DataFrame, query: str, k: int = 20, ast: bool = True, budget_ms: int = 15_000) -> PlanResult:
+    """``search`` within a budget of time: its spans, or none, and a row of the stage that says why."""
+    return _bounded(search(corpus, query, k, ast), "search", budget_ms)
+
+
+def delegate_within(corpus: DataFrame, query: str, k: int = 20, ast: bool = True, budget_ms: int = 5_000) -> tuple[DataFrame, str, list[StageStat]]:
+    """The findings of ``delegate`` within a budget of time, their summary and the row of the stage."""
+    found, _ = delegate(corpus, query, k, ast)
+    rows, stat = within_budget(found, "delegate", budget_ms)
+    counts: dict[str, int] = {}
+    for r in rows:
+        counts[r.uri] = counts.get(r.uri, 0) + 1
+    listed = ", ".join(f"{n} in {uri}" for uri, n in sorted(counts.items()))
+    return corpus.sparkSession.createDataFrame(rows, found.schema), f'{len(rows)} match(es) for "{query}"' + (f": {listed}" if rows else ""), [stat]
+
+
+def _bounded(df: DataFrame, stage: str, budget_ms: int) -> PlanResult:
+    rows, stat = within_budget(df, stage, budget_ms)
+    return PlanResult(df.sparkSession.createDataFrame(rows, df.schema), [stat])
+
+
+def stage_table(spark, stages: list[StageStat]) -> DataFrame:
+    """(stage, hits, dropped, error) of a plan's stages."""
+    return spark.createDataFrame([(s.stage, s.hits, s.dropped, s.error) for s in stages], "stage string, hits int, dropped boolean, error string")
+
+
+def summary_text(tool: str, result) -> str:
+    """The line of text that stands for a result: counts of spans or entries, bytes, a summary, or ok."""
+    if isinstance(result, str):
+        return result
+    if isinstance(result, (bytes, bytearray)):
+        return f"{len(result)} bytes"
+    if isinstance(result, DataFrame):
+        n = result.count()
+        return f"{n} span{'' if n == 1 else 's'}" if "byte_range" in result.columns else f"{n} entr{'y' if n == 1 else 'ies'}"
+    return "ok"
+
+
 def delegate(corpus: DataFrame, query: str, k: int = 20, ast: bool = True) -> tuple[DataFrame, DataFrame]:
     """Findings, and a row (summary) that counts them by uri: one probe for any term, ranked lexically without fusion."""
     terms = query_terms(query)

@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions.text import chunks, query_terms, query_terms_column, tokenize_column
+from .functions.text import chunks, java_pattern, query_terms, query_terms_column, tokenize_column
 from .operators import kmeans
 from .operators.grep import as_spans, grep, lines, matching_lines, visible
 from .operators.ranking import boosted, fuse
@@ -131,7 +131,7 @@ def query_terms_(spark, sf):
 
 
 def _hits(spark, sf) -> DataFrame:
-    return as_spans(matching_lines(visible(documents(spark, sf)), F.col("line").rlike("(?dUi)" + probes(QUERY, TERMS)[0])))
+    return as_spans(matching_lines(visible(documents(spark, sf)), F.col("line").rlike(java_pattern(probes(QUERY, TERMS)[0], True))))
 
 
 def lexical_rank(spark, sf):
@@ -199,7 +199,7 @@ CHUNKS = f"""
 
 # --- vectors ---------------------------------------------------------------------------------
 
-K, PROBE = 10, 8
+K, PROBE, ROUNDS = 10, 8, 8
 
 
 def _vectors(spark, sf) -> DataFrame:
@@ -229,7 +229,7 @@ def _scored(rows: DataFrame) -> DataFrame:
 
 def _trained(spark, sf) -> tuple[DataFrame, np.ndarray, DataFrame, DataFrame]:
     rows = _vectors(spark, sf)
-    centroids, assigned = kmeans.train(rows, default_k(rows.count()), 1)
+    centroids, assigned = kmeans.train(rows, default_k(rows.count()), ROUNDS)
     table_ = spark.createDataFrame([(i, c.tolist()) for i, c in enumerate(centroids)], "cluster_id int, centroid array<double>")
     return rows, centroids, assigned, table_
 
@@ -270,15 +270,23 @@ def recall_curve(spark, sf):
     return out
 
 
-VEC = """
+def _rounds(rows: str = "n", prefix: str = "") -> str:
+    """All rounds of training: a0 and c1 from the seeds s, and so on; at the end the assignment a and the centroids c."""
+    out = []
+    for i in range(ROUNDS):
+        before = f"{prefix}s" if not i else f"{prefix}c{i}"
+        out.append(f"""{prefix}a{i} AS MATERIALIZED (SELECT doc_id, v, cluster_id FROM {rows} CROSS JOIN {before} QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY round(list_dot_product(v, c), 12) DESC, cluster_id) = 1),
+    {prefix}m{i} AS (SELECT cluster_id, list(x ORDER BY i) AS c FROM (SELECT cluster_id, i, avg(x) AS x FROM (SELECT cluster_id, unnest(v) AS x, generate_subscripts(v, 1) - 1 AS i FROM {prefix}a{i}) GROUP BY ALL) GROUP BY cluster_id),
+    {prefix}c{i + 1} AS MATERIALIZED (SELECT b.cluster_id, coalesce(list_transform(m.c, lambda x: x / greatest(sqrt(list_dot_product(m.c, m.c)), 1e-12)), b.c) AS c FROM {before} b LEFT JOIN {prefix}m{i} m USING (cluster_id))""")
+    return ",\n    ".join(out) + f",\n    {prefix}a AS (SELECT * FROM {prefix}a{ROUNDS - 1}), {prefix}c AS (SELECT * FROM {prefix}c{ROUNDS})"
+
+
+VEC = f"""
     n AS (SELECT vec_id AS doc_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE) / greatest(sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))), 1e-12)) AS v FROM embeddings),
     kk AS (SELECT CAST(greatest(1, floor(sqrt(count(*)))) AS BIGINT) AS k, count(*) AS n FROM n),
     pos AS (SELECT doc_id, v, row_number() OVER (ORDER BY doc_id) - 1 AS pos FROM n),
     s AS (SELECT CAST(i AS INTEGER) AS cluster_id, v AS c FROM (SELECT unnest(range(k)) AS i, n // k AS step, n FROM kk) JOIN pos ON pos = least(i * step, n - 1)),
-    a AS (SELECT doc_id, v, cluster_id FROM n CROSS JOIN s QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY round(list_dot_product(v, c), 12) DESC, cluster_id) = 1),
-    m AS (SELECT cluster_id, i, avg(x) AS x FROM (SELECT cluster_id, unnest(v) AS x, generate_subscripts(v, 1) - 1 AS i FROM a) GROUP BY ALL),
-    mn AS (SELECT cluster_id, list(x ORDER BY i) AS c FROM m GROUP BY cluster_id),
-    c AS (SELECT s.cluster_id, coalesce(list_transform(mn.c, lambda x: x / greatest(sqrt(list_dot_product(mn.c, mn.c)), 1e-12)), s.c) AS c FROM s LEFT JOIN mn USING (cluster_id)),
+{_rounds()},
     t AS (SELECT n.doc_id AS query_id, cluster_id, row_number() OVER (PARTITION BY n.doc_id ORDER BY round(list_dot_product(v, c), 9) DESC, cluster_id) AS rn FROM n CROSS JOIN c)
 """
 KNN = """SELECT q.doc_id AS query_id, d.doc_id AS doc_id, round(list_dot_product(q.v, d.v), 9) AS s,

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,6 +32,17 @@ def text(content: Column) -> Column:
     return content.cast("string")
 
 
+def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a string column without nulls, and n + 1 offsets in them."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    width = np.int64 if pa.types.is_large_string(column.type) else np.int32
+    _, ends, data = column.buffers()
+    at = np.frombuffer(ends, width)[column.offset : column.offset + len(column) + 1].astype(np.int64) if len(column) else np.zeros(1, np.int64)
+    raw = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
+    return raw[at[0] : at[-1]], at - at[0]
+
+
 def empty_spans(spark) -> DataFrame:
     return spark.createDataFrame([], SPAN)
 
