@@ -67,6 +67,7 @@ def samples(seed: int = 5, n: int = 6000) -> list[tuple[str, int]]:
             r.choice(("AKIA", "ASIA")) + "".join(r.choices(upper + digits, k=16)), r.choice(("ghp_", "gho_", "glpat-", "xoxb-", "sk_live_", "npm_")) + "".join(r.choices(upper + lower + digits, k=size)),
         )), 1))
         words = [r.choice(_WORDS) for _ in range(r.randint(1, 7))]
+        salad = "".join(w[at : at + r.randint(2, 4)] for w in r.choices(_WORDS, k=r.randint(2, 6)) for at in (r.randrange(len(w)),))  # like words of a foreign tongue
         tail = r.choice(("", "", "", str(r.randint(0, 99)), f"_{r.randint(0, 9999)}", f"-{r.randint(1990, 2030)}", f"-v{r.randint(0, 9)}"))
         start, run = r.randint(0, 20), r.randint(5, 40)
         date = f"{r.randint(1990, 2030)}-{r.randint(1, 12):02}-{r.randint(1, 28):02}"
