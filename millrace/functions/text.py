@@ -62,6 +62,11 @@ def regex_escape(value: str) -> str:
     return "".join("\\" + c if c in _META else c for c in value)
 
 
+def regex_escape_column(value: Column) -> Column:
+    """``regex_escape`` as a column."""
+    return F.regexp_replace(value, r"[.+*?()|\[\]{}^$\\/]", r"\\$0")
+
+
 def any_of(terms: list[str]) -> str:
     return "|".join(map(regex_escape, terms))
 

@@ -137,5 +137,12 @@ def train(vectors: DataFrame, k: int, iters: int = 8) -> tuple[np.ndarray, DataF
     return centroids, rows.withColumn("cluster_id", F.lit(0)) if before is None else assign(rows, before)
 
 
+def sizes(assigned: DataFrame, k: int) -> DataFrame:
+    """(cluster_id, n) for all k clusters, empty ones too."""
+    held = assigned.groupBy("cluster_id").agg(F.count("*").alias("n"))
+    every = assigned.sparkSession.range(k).select(F.col("id").cast("int").alias("cluster_id"))
+    return every.join(held, "cluster_id", "left").select("cluster_id", F.coalesce("n", F.lit(0)).alias("n"))
+
+
 def unit_vectors(df: DataFrame, doc_id: str, vector: str) -> DataFrame:
     return df.select(F.col(doc_id).cast("long").alias("doc_id"), normalize(F.col(vector)).alias("vector"))

@@ -47,8 +47,8 @@ def widen(spans: DataFrame, corpus: DataFrame, *by: str) -> DataFrame:
     start, end = F.col("byte_range.start"), F.col("byte_range.end")
     rows = rows.where((end <= F.octet_length("_c")) & (F.col("content_hash").isNull() | (F.col("content_hash") == F.col("_h"))))
     line = F.substring(F.col("_c"), (start + 1).cast("int"), (end - start).cast("int")).cast("string")
-    blank = F.length(F.ltrim(F.lit(" \t\r\n"), line)) == 0
-    probe = F.when(blank, start).otherwise(start + F.octet_length(line) - F.octet_length(F.ltrim(F.lit(" \t\r\n"), line)))
+    blank = F.length(F.ltrim(line, F.lit(" \t\r\n"))) == 0
+    probe = F.when(blank, start).otherwise(start + F.octet_length(line) - F.octet_length(F.ltrim(line, F.lit(" \t\r\n"))))
     rows = rows.withColumn("_w", enclosing(F.col("_k"), probe))
     whole = F.substring(F.col("_c"), (F.col("_w.start") + 1).cast("int"), (F.col("_w.end") - F.col("_w.start")).cast("int")).cast("string")
     found = F.col("_w").isNotNull()

@@ -18,6 +18,7 @@ from ..functions.text import chunks
 from ..functions.vector import normalize
 from ..operators import kmeans
 from ..operators.vectors import search_clusters
+from ..sources.store import Store, join_uri, text_files
 
 Embedder = Callable[[DataFrame], DataFrame]
 DIM = 384
@@ -53,35 +54,60 @@ def default_k(n: int) -> int:
 
 
 def build_index(corpus: DataFrame, path: str, embedder: Embedder | None = None, k: int | None = None, iters: int = 8, size: int = 1200, overlap: int = 200, align_start: bool = False) -> dict:
-    """Chunks, embeds and clusters a corpus, and writes clusters by cluster_id, centroids, chunk metadata and, last, the manifest."""
-    spark = corpus.sparkSession
-    cut = written(chunks(corpus, size, overlap, align_start).orderBy("uri", "start"), "chunks")
+    """Chunks, embeds and clusters a corpus, and writes clusters, centroids, chunk metadata and, last, the manifest."""
+    cut = written(chunks(corpus, size, overlap, align_start), "chunks")
     placed = kmeans.positions(cut.select(F.struct("uri", "start").alias("doc_id"), F.struct("end", "text").alias("vector")))
     docs = placed.select(F.col("pos").alias("doc_id"), F.col("doc_id.uri").alias("uri"), F.array("doc_id.start", "vector.end").alias("byte_range"), F.col("vector.text").alias("text"))
     vectors = (embedder or hashed_embedder())(docs.select(F.col("doc_id").alias("id"), "text"))
     vectors = written(vectors.select(F.col("id").alias("doc_id"), normalize(F.col("vector")).alias("vector")), "vectors")
+    return build_from_vectors(vectors, docs.select("doc_id", "uri", "byte_range", F.left("text", F.lit(SNIPPET)).alias("snippet")), path, k, iters, size, overlap)
+
+
+def build_from_vectors(vectors: DataFrame, docs: DataFrame, path: str, k: int | None = None, iters: int = 8, size: int = 1200, overlap: int = 200) -> dict:
+    """Clusters ``vectors(doc_id, vector)`` at unit length and writes an index; ``docs(doc_id, uri, byte_range, snippet)`` says what they stand for."""
     n = vectors.count()
     if not n:
         raise IndexError_("nothing to index")
     k = default_k(n) if k is None else min(k, n)
     centroids, assigned = kmeans.train(vectors, k, iters)
-    write_index(spark, path, centroids, assigned, docs.select("doc_id", "uri", "byte_range", F.left("text", F.lit(SNIPPET)).alias("snippet")))
-    return _manifest(spark, path, centroids, size, overlap)
+    write_index(vectors.sparkSession, path, centroids, assigned, docs)
+    return write_index_manifest(vectors.sparkSession, path, {"dim": int(centroids.shape[1]), "k": len(centroids), "chunk_chars": size, "chunk_overlap": overlap})
+
+
+def index(store: Store, prefix: str = "", namespace: str = "default", pattern: str = "**/*.md", max_file_bytes: int = 4 << 20, k: int | None = None, embedder: Embedder | None = None, iters: int = 8) -> dict:
+    """The index verb: the text files of a prefix that match a glob and aren't too large, indexed under a namespace beside them."""
+    if not namespace or "/" in namespace or namespace.startswith("."):
+        raise IndexError_(f"bad namespace {namespace!r}")
+    corpus = text_files(store.corpus(prefix, pattern, max_file_bytes), pattern, max_file_bytes)
+    return build_index(corpus, index_path(store, namespace), embedder, k, iters)
+
+
+def index_path(store: Store, namespace: str = "default") -> str:
+    return join_uri(store.root, f"_index/{namespace}")
+
+
+def write_clusters(rows: DataFrame, path: str, batch: int) -> None:
+    """Assigned vectors in files that hold ranges of clusters in order, so that a scan skips what it needn't read; a batch that is
+    written again takes the place of its former self."""
+    rows = rows.select("doc_id", F.col("vector").cast("array<float>").alias("vector"), "cluster_id")
+    rows.repartitionByRange("cluster_id").sortWithinPartitions("cluster_id").write.mode("overwrite").option("parquet.block.size", 8 << 20).parquet(f"{path}/clusters/batch={batch}")
 
 
 def write_index(spark: SparkSession, path: str, centroids: np.ndarray, assigned: DataFrame, docs: DataFrame) -> None:
-    rows = assigned.select("doc_id", F.col("vector").cast("array<float>").alias("vector"), "cluster_id")
-    rows.repartition("cluster_id").write.mode("overwrite").partitionBy("cluster_id").parquet(f"{path}/clusters")
-    docs.write.mode("overwrite").parquet(f"{path}/docs")
-    spark.createDataFrame([(i, c.tolist()) for i, c in enumerate(centroids)], "cluster_id int, centroid array<double>").write.mode("overwrite").parquet(f"{path}/centroids")
-
-
-def _manifest(spark: SparkSession, path: str, centroids: np.ndarray, size: int, overlap: int) -> dict:
-    sizes = {r[0]: r[1] for r in spark.read.parquet(f"{path}/clusters").groupBy("cluster_id").count().collect()}  # a row a cluster
-    out = {
-        "version": 1, "dim": int(centroids.shape[1]), "k": len(centroids), "num_docs": sum(sizes.values()),
-        "cluster_sizes": [sizes.get(i, 0) for i in range(len(centroids))], "chunk_chars": size, "chunk_overlap": overlap,
-    }
+    """Writes a new index. The manifest of an older one goes first: as long as there is none, there is no index."""
+    for part in ("manifest", "clusters", "docs"):
+        at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{part}")
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    write_clusters(assigned, path, 0)
+    docs.write.mode("overwrite").parquet(f"{path}/docs/batch=0")
+    table = pa.table({"cluster_id": pa.array(np.arange(len(centroids), dtype=np.int32)), "centroid": pa.array(centroids.tolist(), pa.list_(pa.float64()))})
+    spark.createDataFrame(table).write.mode("overwrite").parquet(f"{path}/centroids")
+
+
+def write_index_manifest(spark: SparkSession, path: str, fixed: dict) -> dict:
+    """Counts what is there and commits it."""
+    sizes = dict(spark.read.parquet(f"{path}/clusters").groupBy("cluster_id").count().collect())  # a row a cluster
+    out = {"version": 1, **fixed, "num_docs": sum(sizes.values()), "cluster_sizes": [sizes.get(i, 0) for i in range(fixed["k"])]}
     spark.createDataFrame([(json.dumps(out),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/manifest")
     return out
 
@@ -94,8 +120,13 @@ class VectorIndex:
             self.manifest = json.loads(spark.read.text(f"{path}/manifest").first()[0])
         except Exception as error:
             raise IndexError_(f"no index at {path}") from error
-        self.spark = spark
+        self.spark, self.path = spark, path
         self.clusters, self.centroids, self.docs = (spark.read.parquet(f"{path}/{x}") for x in ("clusters", "centroids", "docs"))
+        # of a file that was indexed again, the chunks of its last batch count
+        newest = self.docs.groupBy("uri").agg(F.max("batch").alias("batch"))
+        if not self.docs.where("batch > 0").isEmpty():
+            self.docs = self.docs.join(newest, ["uri", "batch"], "left_semi")
+            self.clusters = self.clusters.join(self.docs.select("doc_id"), "doc_id", "left_semi")
 
     def search(self, queries: DataFrame, k: int, probe: int = 8) -> DataFrame:
         """(query_id, doc_id, score, rank) for ``queries(query_id, vector)``."""
@@ -110,4 +141,4 @@ class VectorIndex:
         return self.search(rows.select(F.col("id").alias("query_id"), "vector"), k, probe)
 
 
-__all__ = ["VectorIndex", "build_index", "default_k", "hashed_embedder", "write_index"]
+__all__ = ["VectorIndex", "build_from_vectors", "build_index", "default_k", "hashed_embedder", "index", "index_path", "write_clusters", "write_index", "write_index_manifest"]

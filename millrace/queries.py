@@ -15,9 +15,8 @@ from .operators.ranking import boosted, fuse
 from .operators.spans import concise, drop_drifted, findings, first_line
 from .operators.vectors import knn_batch, probe_clusters, recall, search_clusters
 from .plans.index import default_k
-from .plans.search import clamp, delegate, find, grep_verb, probe_spans, probes, search
-from .schema import place
-from .sources.store import glob, ls, read
+from .plans.search import clamp, delegate, probe_spans, probes, search
+from .sources.store import glob, ls, ranges, read
 
 QUERY = "the thing of ation and other"
 TERMS = query_terms(QUERY)
@@ -244,9 +243,7 @@ def kmeans_step(spark, sf):
 
 def cluster_sizes(spark, sf):
     _, centroids, assigned, _ = _trained(spark, sf)
-    sizes = assigned.groupBy("cluster_id").count().withColumnRenamed("count", "n")
-    every = spark.range(len(centroids)).select(F.col("id").cast("int").alias("cluster_id"))
-    return every.join(sizes, "cluster_id", "left").select("cluster_id", F.coalesce("n", F.lit(0)).alias("n"))
+    return kmeans.sizes(assigned, len(centroids))
 
 
 def probe_topn(spark, sf):
@@ -296,24 +293,7 @@ PROBED = """SELECT q.doc_id AS query_id, a.doc_id AS doc_id, round(list_dot_prod
     FROM n q JOIN t ON t.query_id = q.doc_id AND rn <= {} JOIN a ON a.cluster_id = t.cluster_id"""
 
 
-# --- hybrid, listing, reading ----------------------------------------------------------------
-
-
-def hybrid_fuse(spark, sf):
-    """Line hits and nearest vectors fused; vectors stand for the documents of their number."""
-    hits = grep(documents(spark, sf), "|".join(TERMS), case_insensitive=True, max_hits=40)
-    lexical = flat(hits).select("uri", "start", F.row_number().over(_by("uri", "line_no", "start")).alias("rank"))
-    rows = _vectors(spark, sf)
-    first = rows.orderBy("doc_id").limit(1).select(F.col("doc_id").alias("query_id"), "vector")
-    near = knn_batch(rows, first, TOP).select(F.concat(F.lit("documents/"), "doc_id").alias("uri"), F.lit(0).cast("long").alias("start"), "rank")
-    both = lexical.unionByName(near).groupBy("uri", "start").agg(F.round(F.sum(1.0 / (60 + F.col("rank"))), 6).alias("score"))
-    return both.orderBy(F.desc("score"), "uri", "start").limit(TOP)
-
-
-def _by(*cols):
-    from pyspark.sql import Window
-
-    return Window.orderBy(*cols)  # over at most 40 rows
+# --- listing, reading ----------------------------------------------------------------
 
 
 def ls_glob(spark, sf):
@@ -327,30 +307,7 @@ def read_range(spark, sf):
 
 def read_all(spark, sf):
     """Bytes 10 to 110 of every document, and whether they are text."""
-    b = F.substring(F.col("content").cast("binary"), 11, 100)
-    return documents(spark, sf).select("uri", F.octet_length(b).cast("long").alias("bytes"), F.when(F.is_valid_utf8(b.cast("string")), b.cast("string")).alias("text"))
-
-
-CODE = [
-    ("src/a.py", "import os\n\ndef alpha():\n    return 1\n\ndef beta():\n    # TODO: inside beta\n    return alpha()\n\nclass Box:\n    def open_lid(self):\n        return beta()\n"),
-    ("src/b.rs", "fn one() -> i32 { 1 }\n\nstruct Lid { n: i32 }\n\nimpl Lid {\n    fn openLid(&self) -> i32 {\n        // TODO later { not a brace\n        self.n\n    }\n}\n"),
-    ("web/c.ts", "export class Panel {\n  openLid(x: number): number {\n    return x; // TODO\n  }\n}\nexport const beta = (x: number) => {\n  return x;\n};\n"),
-    ("go/d.go", "package d\n\nfunc beta() int {\n\treturn 1 // TODO\n}\n\ntype Lid struct {\n\tn int\n}\n"),
-    ("notes.txt", "TODO: beta\n"),
-]
-
-
-def code(spark: SparkSession) -> DataFrame:
-    """No shared table holds source code; this corpus does."""
-    return spark.createDataFrame(CODE, "uri string, content string")
-
-
-def widen_code(spark, sf):
-    return flat(grep_verb(code(spark), "TODO", ast=True), "symbol", "kind")
-
-
-def find_symbol(spark, sf):
-    return flat(find(code(spark), "open_lid"), "symbol", "kind")
+    return ranges(documents(spark, sf), 10, 100)
 
 
 def findings_response(spark, sf):
@@ -362,7 +319,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         line_scan, grep_literal, grep_ci, grep_alternation, grep_anchor, grep_cap, grep_per_file_cap, grep_hash, grep_pages, grep_conversations, drift, concise_snippet, concise_response,
         findings_response, tokenize, query_terms_, lexical_rank, rrf_fuse, search_topk, delegate_topk, delegate_counts, chunk_windows, vec_normalize, vec_knn_exact, vec_knn_batch, kmeans_assign, kmeans_step,
-        cluster_sizes, probe_topn, probe_search, recall_curve, hybrid_fuse, ls_glob, read_range, read_all, widen_code, find_symbol,
+        cluster_sizes, probe_topn, probe_search, recall_curve, ls_glob, read_range, read_all,
     )
 }
 
@@ -420,12 +377,14 @@ ORACLES: dict[str, str] = {
         f"SELECT {p} AS probe, round((SELECT count(*) FROM truth JOIN (SELECT query_id, doc_id FROM ({PROBED.format(p)}) WHERE rank <= {K}) USING (query_id, doc_id)) / ({K}.0 * (SELECT count(*) FROM n)), 6) AS recall"
         for p in (1, 2, 4, 8, 16)
     ),
-    "hybrid_fuse": f"""WITH {DOCS}, {VEC}, g AS (SELECT uri, start, row_number() OVER (ORDER BY uri, line_no, start) AS r FROM l WHERE regexp_matches(line, '(?i){"|".join(TERMS)}') QUALIFY r <= 40),
-        w AS (SELECT 'documents/' || doc_id AS uri, CAST(0 AS BIGINT) AS start, rank AS r FROM ({KNN}) WHERE rank <= {TOP} AND query_id = (SELECT min(doc_id) FROM n))
-        SELECT uri, start, round(sum(CAST(1 AS DOUBLE) / (60 + r)), 6) AS score FROM (SELECT * FROM g UNION ALL SELECT * FROM w) GROUP BY uri, start ORDER BY score DESC, uri, start LIMIT {TOP}""",
     "ls_glob": "SELECT 'documents/' || doc_id AS key, strlen(text) AS size FROM documents WHERE regexp_matches('documents/' || doc_id, '^documents/.*7$') ORDER BY key LIMIT 1000",
     "read_range": "SELECT 'documents/5' AS uri, CAST(octet_length(encode(text)[11:110]) AS BIGINT) AS bytes, try(decode(encode(text)[11:110])) AS text FROM documents WHERE doc_id = 5",
     "read_all": "SELECT 'documents/' || doc_id AS uri, CAST(octet_length(encode(text)[11:110]) AS BIGINT) AS bytes, try(decode(encode(text)[11:110])) AS text FROM documents",
 }
 
-__all__ = ["ORACLES", "QUERIES", "documents", "place"]
+from . import queries_more  # noqa: E402
+
+QUERIES |= queries_more.QUERIES
+ORACLES |= queries_more.ORACLES
+
+__all__ = ["ORACLES", "QUERIES", "documents"]

@@ -5,11 +5,11 @@ from __future__ import annotations
 import os
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import ConfigError, RequestError, StoreError
-from ..schema import LISTING
+from .files import contents, listing, where
 
 SCHEMES = {"file": "file", "s3": "s3a", "r2": "s3a", "gs": "gs"}
 
@@ -32,11 +32,27 @@ def parse_uri(uri: str) -> Address:
     return Address(scheme, bucket, key)
 
 
+def uri_columns(uri: Column) -> list[Column]:
+    """``parse_uri`` as columns scheme, authority and key; all are null where there is no scheme."""
+    whole = uri.contains("://")
+    scheme, rest = F.substring_index(uri, "://", 1), F.regexp_extract(uri, "^.*?://(.*)$", 1)
+    file = scheme == "file"
+    return [
+        F.when(whole, scheme).alias("scheme"), F.when(whole & ~file, F.substring_index(rest, "/", 1)).alias("authority"),
+        F.when(whole, F.when(file, rest).otherwise(F.regexp_extract(rest, "^[^/]*/?(.*)$", 1))).alias("key"),
+    ]
+
+
 def join_uri(root: str, key: str) -> str:
     """The full address of a key that is relative to the root."""
     return f"{root.rstrip('/')}/{key.lstrip('/')}" if key else root
 
 
+def join_uri_column(root: Column, key: Column) -> Column:
+    """``join_uri`` as a column."""
+    return F.when(key == "", root).otherwise(F.concat(F.regexp_replace(root, "/+$", ""), F.lit("/"), F.regexp_replace(key, "^/+", "")))
+
+
 def safe_key(key: str) -> str:
     """The key, refused if it could leave its root."""
     if ".." in key.split("/") or key.startswith("/"):
@@ -67,11 +83,16 @@ class Store:
         self.spark, self.root = spark, root.rstrip("/")
         self._path = spark._jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.root or "/").getFileSystem(spark._jsc.hadoopConfiguration())
+        self._place = where(self.root or "/", {k: v for k in ("fs.s3a.access.key", "fs.s3a.secret.key", "fs.s3a.endpoint") if (v := spark._jsc.hadoopConfiguration().get(k))})
 
     def describe(self) -> str:
         return self.root
 
     def _at(self, key: str):
+        if self._place.scheme == "file":
+            root = os.path.realpath(self._place.path)
+            if os.path.commonpath([root, os.path.realpath(os.path.join(root, safe_key(key)))]) != root:
+                raise StoreError(f"key leaves its root: {key!r}")
         return self._path(join_uri(self.root, safe_key(key)))
 
     def exists(self, key: str) -> bool:
@@ -84,19 +105,26 @@ class Store:
         s = self._fs.getFileStatus(self._at(key))
         return {"key": key, "size": s.getLen(), "etag": None, "last_modified": s.getModificationTime() // 1000}
 
-    def get(self, key: str, offset: int | None = None, length: int | None = None) -> bytes:
-        """The bytes of a file, or of a range that is cut at its end."""
-        size = self.head(key)["size"]
-        if offset is not None:
-            offset, end = min(offset, size), min(offset + (size if length is None else length), size)
-        else:
-            offset, end = 0, size
-        rows = self.spark.read.format("binaryFile").load(join_uri(self.root, key)).select(F.substring("content", offset + 1, max(0, end - offset)).alias("c"))
-        return bytes(rows.first()[0]) if size else b""
-
-    get_range = get
-    get_fresh = get
+    def get(self, key: str) -> bytes:
+        """The bytes of a file."""
+        return self.get_range(key, 0, self.head(key)["size"])
 
+    def get_range(self, key: str, offset: int, length: int) -> bytes:
+        """The bytes of a range, which is cut at the end of the file; nothing else of it is read."""
+        size = self.head(key)["size"]
+        start, end = min(max(offset, 0), size), min(max(offset, 0) + max(length, 0), size)
+        system, base = self._place.open()
+        with system.open_input_file(f"{base.rstrip('/')}/{safe_key(key)}") as file:
+            file.seek(start)
+            return file.read(end - start)
+
+    def get_fresh(self, key: str) -> tuple[bytes, dict]:
+        """The bytes of a file with what ``head`` says of it, read past any cache; if it changes meanwhile, it is read again."""
+        while True:
+            before = self.head(key)
+            raw = self.get(key)
+            if self.head(key) == before:
+                return raw, before
     def put(self, key: str, content: bytes) -> None:
         out = self._fs.create(self._at(key), True)
         try:
@@ -109,51 +137,57 @@ class Store:
         self._fs.delete(self._at(key), False)
 
     def list(self, prefix: str = "") -> DataFrame:
-        """(key, size, etag, last_modified) of all files under a prefix, hidden ones too, without reading them."""
-        root = f"{self._fs.makeQualified(self._path(self.root or '/')).toString().rstrip('/')}/"
-        at = join_uri(self.root, safe_key(prefix)) if prefix else self.root
-        if not self._fs.exists(self._path(at or "/")):
-            return self.spark.createDataFrame([], LISTING)
-        return self._files(at).select(
-            F.substring(F.col("path"), len(_pathed(root)) + 1, 1 << 30).alias("key"), F.col("length").alias("size"), F.lit(None).cast("string").alias("etag"), F.unix_timestamp("modificationTime").alias("last_modified")
-        )
-
-    def _files(self, at: str) -> DataFrame:
-        """(path, modificationTime, length, content). The reader skips empty files and names that begin with a
-        dot or underscore, so these are listed by name."""
-        root, hidden, empty = self._path(at), [], []
-        base = self._fs.makeQualified(root).toString()
-        found = self._fs.listFiles(root, True)
-        while found.hasNext():
-            s = found.next()
-            path = s.getPath().toString()
-            inner = path[len(base) :].split("/")
-            if inner[-1].startswith(".") and inner[-1].endswith(".crc"):
-                continue
-            if not s.getLen():
-                empty.append((path, s.getModificationTime()))
-            elif any(x.startswith((".", "_")) for x in inner):
-                hidden.append(path)
-        reader = self.spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-        out = reader.load(at)
-        if hidden:
-            out = out.unionByName(reader.load(hidden))
-        if empty:
-            rows = self.spark.createDataFrame(empty, "path string, ms long")
-            out = out.where("length > 0").unionByName(rows.select("path", F.timestamp_millis("ms").alias("modificationTime"), F.lit(0).cast("long").alias("length"), F.lit(b"").alias("content")))
-        return out.withColumn("path", F.regexp_replace("path", "^file:/+", "/"))
+        """(key, size, etag, last_modified) of all files under a prefix, hidden and empty ones too, without reading them."""
+        rows = listing(self.spark, self._place, safe_key(prefix))
+        return rows.select("key", "size", F.lit(None).cast("string").alias("etag"), F.col("modified").alias("last_modified"))
 
-    def corpus(self, prefix: str = "") -> DataFrame:
-        """(uri, content) of all files under a prefix; uris are keys."""
-        root = _pathed(f"{self._fs.makeQualified(self._path(self.root or '/')).toString().rstrip('/')}/")
-        at = join_uri(self.root, safe_key(prefix)) if prefix else self.root
-        if not self._fs.exists(self._path(at or "/")):
-            return self.spark.createDataFrame([], "uri string, content binary")
-        return self._files(at).select(F.substring(F.col("path"), len(root) + 1, 1 << 30).alias("uri"), "content")
+    def corpus(self, prefix: str = "", pattern: str | None = None, max_bytes: int | None = None) -> DataFrame:
+        """(uri, content) of all files under a prefix; uris are keys. Files that don't match the glob, or are larger, aren't read."""
+        rows = self.list(prefix).select("key", "size")
+        if pattern is not None:
+            rows = glob(rows, "", pattern)
+        if max_bytes is not None:
+            rows = rows.where(F.col("size") <= max_bytes)
+        return contents(rows.select("key"), self._place).select(F.col("key").alias("uri"), "content")
 
 
-def _pathed(root: str) -> str:
-    return "/" + root.split(":", 1)[1].lstrip("/") if root.startswith("file:") else root
+class CorpusCache:
+    """Contents of a store that stay in the shared folder from call to call, checked on every use against a listing.
+
+    Files whose size, etag and time are as before come from the table, which is read and kept as Spark does with any
+    other; only new and changed ones are read from the store. Each refresh writes a new version, whose name is committed last.
+    """
+
+    def __init__(self, store: Store, folder: str):
+        self.store, self.folder, self.spark = store, folder.rstrip("/"), store.spark
+        self.fetched = 0
+
+    def _versions(self) -> list[int]:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
+        system = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        if not system.exists(path):
+            return []
+        names = [f.getPath() for f in system.listStatus(path)]
+        done = [int(p.getName().removeprefix("v")) for p in names if p.getName().startswith("v") and system.exists(self.spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
+        return sorted(done)
+
+    def corpus(self, prefix: str = "") -> DataFrame:
+        """(uri, content) of the files under a prefix as they are now."""
+        now, versions = self.store.list(prefix), self._versions()
+        same = ["key", "size", "last_modified"]
+        if versions:
+            old = self.spark.read.parquet(f"{self.folder}/v{versions[-1]}")
+            kept = old.join(now.select(*same), same, "left_semi")
+            fresh = now.join(old.select(*same), same, "left_anti")
+        else:
+            kept, fresh = None, now
+        self.fetched = fresh.count()
+        if versions and not self.fetched and old.count() == now.count():
+            return old.select(F.col("key").alias("uri"), "content")
+        read_ = contents(fresh.select(*same), self.store._place)
+        path = f"{self.folder}/v{versions[-1] + 1 if versions else 0}"
+        (read_ if kept is None else kept.unionByName(read_)).write.parquet(path)
+        return self.spark.read.parquet(path).select(F.col("key").alias("uri"), "content")
 
 
 def open_store(spark: SparkSession, uri: str) -> tuple[Store, str]:
@@ -228,10 +262,15 @@ def read(corpus: DataFrame, key: str, offset: int | None = None, length: int | N
     valid UTF-8. Offset and length come together or not at all."""
     if (offset is None) != (length is None):
         raise RequestError("offset and length come together")
+    return ranges(corpus.where(F.col("uri") == key), offset, length)
+
+
+def ranges(corpus: DataFrame, offset: int | None = None, length: int | None = None) -> DataFrame:
+    """``read`` for every file of a corpus."""
     b = F.col("content").cast("binary")
     if offset is not None:
         b = F.substring(b, offset + 1, length)
-    rows = corpus.where(F.col("uri") == key).select("uri", b.alias("b"))
+    rows = corpus.select("uri", b.alias("b"))
     return rows.select("uri", F.octet_length("b").cast("long").alias("bytes"), F.when(F.is_valid_utf8(F.col("b").cast("string")), F.col("b").cast("string")).alias("text"))
 
 

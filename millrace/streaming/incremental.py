@@ -8,8 +8,9 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.text import chunks
 from ..functions.vector import normalize
-from ..operators.kmeans import assign
-from ..plans.index import Embedder, VectorIndex, hashed_embedder
+from ..operators.kmeans import assign, positions
+from ..operators.matrix import rows_of
+from ..plans.index import SNIPPET, Embedder, VectorIndex, hashed_embedder, write_clusters, write_index_manifest
 
 FINGERPRINT = ("size", "etag", "last_modified")
 
@@ -24,37 +25,38 @@ def removed(now: DataFrame, before: DataFrame) -> DataFrame:
     return before.join(now.select("key"), "key", "left_anti")
 
 
-def append(index_path: str, corpus: DataFrame, embedder: Embedder | None = None) -> int:
-    """Adds the chunks of a corpus to the clusters of an index, whose centroids stay; returns their number.
+def append(index_path: str, corpus: DataFrame, embedder: Embedder | None = None, batch: int | None = None) -> int:
+    """Adds the chunks of a corpus to an index, whose centroids stay; returns their number.
 
-    New ids follow the greatest one. Chunks of an uri that is there already are added beside the old ones.
+    A batch that is added again, as a stream does after a failure, takes the place of its former self. Chunks of a file that was indexed before give way to
+    those of the batch with the greater number. Without a number the batch follows the last one. The manifest is written anew, last.
     """
-    from ..operators.kmeans import positions
-
     spark = corpus.sparkSession
     index = VectorIndex(spark, index_path)
-    start = (index.docs.agg(F.max("doc_id")).first()[0] or 0) + 1
-    placed = positions(chunks(corpus).select(F.struct("uri", "start").alias("doc_id"), F.struct("end", "text").alias("vector")))
+    every = spark.read.parquet(f"{index_path}/docs")
+    if batch is None:
+        batch = every.agg(F.max("batch")).first()[0] + 1
+    start = (every.where(F.col("batch") < batch).agg(F.max("doc_id")).first()[0] or 0) + 1
+    size, overlap = index.manifest["chunk_chars"], index.manifest["chunk_overlap"]
+    placed = positions(chunks(corpus, size, overlap).select(F.struct("uri", "start").alias("doc_id"), F.struct("end", "text").alias("vector")))
     docs = placed.select((F.col("pos") + start).alias("doc_id"), F.col("doc_id.uri").alias("uri"), F.array("doc_id.start", "vector.end").alias("byte_range"), F.col("vector.text").alias("text"))
     if docs.isEmpty():
         return 0
-    import numpy as np
-
-    centroids = np.array([r[0] for r in index.centroids.orderBy("cluster_id").select("centroid").collect()])
+    centroids = rows_of(index.centroids.select("cluster_id", "centroid").toArrow().sort_by("cluster_id").column("centroid"))
     vectors = (embedder or hashed_embedder(index.manifest["dim"]))(docs.select(F.col("doc_id").alias("id"), "text"))
-    rows = assign(vectors.select(F.col("id").alias("doc_id"), normalize(F.col("vector")).alias("vector")), centroids)
-    rows.select("doc_id", F.col("vector").cast("array<float>").alias("vector"), "cluster_id").write.mode("append").partitionBy("cluster_id").parquet(f"{index_path}/clusters")
-    docs.select("doc_id", "uri", "byte_range", F.left("text", F.lit(280)).alias("snippet")).write.mode("append").parquet(f"{index_path}/docs")
+    write_clusters(assign(vectors.select(F.col("id").alias("doc_id"), normalize(F.col("vector")).alias("vector")), centroids), index_path, batch)
+    docs.select("doc_id", "uri", "byte_range", F.left("text", F.lit(SNIPPET)).alias("snippet")).write.mode("overwrite").parquet(f"{index_path}/docs/batch={batch}")
+    write_index_manifest(spark, index_path, {x: index.manifest[x] for x in ("dim", "k", "chunk_chars", "chunk_overlap")})
     return docs.count()
 
 
 def follow(spark: SparkSession, folder: str, index_path: str, checkpoint: str, embedder: Embedder | None = None) -> StreamingQuery:
-    """A stream that adds files to an index as they appear in a folder; it takes what there is and ends."""
+    """A stream that adds files to an index as they appear in a folder; it takes what there is and ends. Each batch is added once, also after a failure."""
     schema = "path string, modificationTime timestamp, length long, content binary"
     files = spark.readStream.format("binaryFile").schema(schema).option("recursiveFileLookup", "true").load(folder)
     corpus = files.select(F.col("path").alias("uri"), "content")
 
-    def add(batch: DataFrame, _: int) -> None:
-        append(index_path, batch, embedder)
+    def add(batch: DataFrame, number: int) -> None:
+        append(index_path, batch, embedder, number + 1)
 
     return corpus.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
