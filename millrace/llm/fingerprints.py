@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SegmentHash, blocks, text_of, utf8
+from .common import SegmentHash, blocks, materialise, text_of, utf8
 from .words import sliding_min
 
 #: Bytes of a feature, positions among which the rarest one is sought, and how often a
@@ -28,9 +28,10 @@ BEYOND = 0.0
 STEPS = 1000
 #: Bytes of text whose entropies are counted in one go, and lanes in which that is done.
 BLOCK, LANES = 1 << 21, 4096
-#: Largest table of reference digests, in bytes, that is sent to every task.
+#: Largest table of reference texts, in bytes, whose digests are sent to every task.
 REFERENCE_BYTES = 16 << 20
 
+DIGEST = "doc_id long, features int, filters int, digest binary, hashes binary"
 #: Type of the list of a document's matches.
 MATCHES = "array<struct<id: bigint, overlap: double>>"
 
@@ -96,14 +97,25 @@ def selected(steps: np.ndarray, rank: np.ndarray) -> np.ndarray:
     return np.flatnonzero((wins >= min(POPULARITY, n - span + 1)) & (rank[steps] < rank.max()))
 
 
-def digest(data: np.ndarray, rank: np.ndarray, steps: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Filters (k x BITS/8 bytes) and the number of features in each."""
+def features(data: np.ndarray, rank: np.ndarray, steps: np.ndarray | None = None) -> np.ndarray:
+    """Hashes of the distinct selected features of a text, in order."""
     at = selected(entropy_steps(data) if steps is None else steps, rank)
     if not len(at):
-        return np.zeros((0, BITS // 8), np.uint8), np.zeros(0, np.int32)
+        return np.zeros(0, np.uint64)
     hashes = SegmentHash(data)(at, at + WINDOW)
     _, first = np.unique(hashes, return_index=True)
-    hashes = hashes[np.sort(first)]
+    return hashes[np.sort(first)]
+
+
+def digest(data: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Filters (k x BITS/8 bytes) and the number of features in each."""
+    return filters_of(features(data, rank))
+
+
+def filters_of(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The chained filters of features, and the number of features in each."""
+    if not len(hashes):
+        return np.zeros((0, BITS // 8), np.uint8), np.zeros(0, np.int32)
     k = -(-len(hashes) // CAPACITY)
     filters = np.zeros((k, BITS), np.uint8)
     row = np.arange(len(hashes)) // CAPACITY
@@ -112,16 +124,20 @@ def digest(data: np.ndarray, rank: np.ndarray, steps: np.ndarray | None = None)
     return np.packbits(filters, axis=1), np.bincount(row, minlength=k).astype(np.int32)
 
 
-def block_digests(data: np.ndarray, offsets: np.ndarray, rank: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """``digest`` of every text of a block of texts that lie end to end, in one go."""
+Digest = tuple[np.ndarray, np.ndarray, np.ndarray]
+
+
+def block_digests(data: np.ndarray, offsets: np.ndarray, rank: np.ndarray) -> list[Digest]:
+    """``digest`` of every text of a block of texts that lie end to end, in one go, and its features."""
     n = len(offsets) - 1
     steps = entropy_steps(data)
     valid = np.diff(offsets) - WINDOW + 1  # windows of each text
     long = valid >= SPAN + POPULARITY
-    none = (np.zeros((0, BITS // 8), np.uint8), np.zeros(0, np.int32))
+    none = (np.zeros((0, BITS // 8), np.uint8), np.zeros(0, np.int32), np.zeros(0, np.uint64))
     out = [none] * n
     for i in np.flatnonzero((valid > 0) & ~long).tolist():
-        out[i] = digest(data[offsets[i] : offsets[i + 1]], rank, steps[offsets[i] : offsets[i] + valid[i]])
+        own = features(data[offsets[i] : offsets[i + 1]], rank, steps[offsets[i] : offsets[i] + valid[i]])
+        out[i] = *filters_of(own), own
     if not long.any():
         return out
     ranked = rank[steps].astype(np.int64)
@@ -138,6 +154,7 @@ def block_digests(data: np.ndarray, offsets: np.ndarray, rank: np.ndarray) -> li
     keep = np.sort(order[first])
     hashes, text = hashes[keep], text[keep]
     held = np.bincount(text, minlength=n)
+    ends = np.concatenate(([0], np.cumsum(held)))
     nth = np.arange(len(text)) - np.repeat(np.cumsum(held) - held, held)
     chain = -(-held // CAPACITY)
     base = np.cumsum(chain) - chain
@@ -147,7 +164,7 @@ def block_digests(data: np.ndarray, offsets: np.ndarray, rank: np.ndarray) -> li
         bits[row, (hashes >> np.uint64(11 * i)) % np.uint64(BITS)] = 1
     bits, sizes = np.packbits(bits, axis=1), np.bincount(row, minlength=len(bits)).astype(np.int32)
     for i in np.flatnonzero(held).tolist():
-        out[i] = bits[base[i] : base[i] + chain[i]], sizes[base[i] : base[i] + chain[i]]
+        out[i] = bits[base[i] : base[i] + chain[i]], sizes[base[i] : base[i] + chain[i]], hashes[ends[i] : ends[i + 1]]
     return out
 
 
@@ -219,8 +236,8 @@ def fingerprint_documents(docs: DataFrame, references: DataFrame, reference_id:
     filters one after another. ``matches`` holds (id, overlap), by id, for every reference whose normalised
     bit overlap, that of ``overlap()``, is more than ``beyond``. ``overlap`` is the greatest of all,
     and ``nearest`` the least id of those that reach it, null where nothing overlaps.
-    References are compared in tasks that hold all reference digests, if these are at most
-    REFERENCE_BYTES; a larger table is split in parts that are compared one after another.
+    A document and a reference are compared if they share a selected feature; bits that agree by chance alone are no match. Up to
+    REFERENCE_BYTES of reference texts, their digests are sent to every task; beyond, documents and references are joined on features.
 
     Null, empty and shorter texts than a window have an empty digest and no overlap. Null and
     repeated ids pass through, each row on its own; no rows give no rows, and no references give no
@@ -229,35 +246,52 @@ def fingerprint_documents(docs: DataFrame, references: DataFrame, reference_id:
     if ranks is None:
         ranks = rarity(docs)
 
-    def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, offsets = utf8(batch.column(1))
-            out, features, filters = [], [], []
-            for first, last in blocks(np.diff(offsets), BLOCK):
-                for bits, n in block_digests(data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first], ranks):
-                    out.append(bits.tobytes())
-                    features.append(int(n.sum()))
-                    filters.append(len(bits))
-            yield pa.record_batch(
-                [batch.column(0), pa.array(features, pa.int32()), pa.array(filters, pa.int32()), pa.array(out, pa.binary())],
-                names=["doc_id", "features", "filters", "digest"],
-            )
-
     def digested(df: DataFrame, key: str) -> DataFrame:
         narrow = df.select(F.col(key).cast("long").alias("doc_id"), text_of().alias("text"))
-        return narrow.mapInArrow(digests, "doc_id long, features int, filters int, digest binary")
+        return narrow.mapInArrow(_digests(ranks), DIGEST)
 
     spark = docs.sparkSession
-    found = digested(docs, "doc_id")
-    known = digested(references, reference_id).where("filters > 0 AND doc_id IS NOT NULL").select(F.col("doc_id").alias("id"), "features", "digest")
+    known = digested(references, reference_id).where("filters > 0 AND doc_id IS NOT NULL")
     size = references.select(F.sum(F.octet_length(text_of()))).first()[0] or 0
-    parts = max(1, -(-int(size) // REFERENCE_BYTES))  # a digest is smaller than its text
-    rows: DataFrame = found.select("*", F.lit(None).cast("long").alias("nearest"), F.lit(0.0).alias("overlap"), F.array().cast(MATCHES).alias("matches"))
-    for part in range(parts):
-        table = known if parts == 1 else known.where(F.pmod(F.xxhash64("id"), F.lit(parts)) == part)
-        local = [(r.id, r.features, bytes(r.digest)) for r in table.collect()]  # at most about REFERENCE_BYTES
-        rows = rows.mapInArrow(_nearest(spark.sparkContext.broadcast(sorted(local)), beyond), rows.schema)
-    return rows
+    columns = ["doc_id", "features", "filters", "digest"]
+    if size <= REFERENCE_BYTES:
+        table = known.select("doc_id", "features", "digest", "hashes").toArrow()  # digests and features are about three times as large as their texts
+        local = sorted((i, n, bytes(d), bytes(h)) for i, n, d, h in zip(*(table.column(c).to_pylist() for c in table.column_names)))
+        narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
+        rows = narrow.mapInArrow(_digests(ranks, spark.sparkContext.broadcast(local), beyond), f"{DIGEST}, matches {MATCHES}")
+    else:
+        known = materialise(known, "references").select(F.col("doc_id").alias("id"), F.col("features").alias("m"), F.col("digest").alias("reference"), "hashes")
+        mine = materialise(digested(docs, "doc_id").withColumn("row", F.monotonically_increasing_id()), "digests")
+        pairs = _features(mine.select("row", "hashes")).join(_features(known.select(F.xxhash64("id", "reference").alias("row"), "hashes")).toDF("ref", "feature"), "feature").select("row", "ref").distinct()
+        named = known.select(F.xxhash64("id", "reference").alias("ref"), "id", "m", "reference")
+        both = pairs.join(named, "ref").join(mine.select("row", "features", "digest"), "row").select("row", "id", "features", "digest", "m", "reference")
+        scored = both.mapInArrow(_overlaps(beyond), "row long, id long, overlap double")
+        found = scored.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("id", "overlap"))).alias("matches"))
+        rows = mine.join(found, "row", "left").select(*columns, F.coalesce("matches", F.array().cast(MATCHES)).alias("matches"))
+    best = F.array_max(F.transform("matches", lambda m: F.struct(m["overlap"].alias("o"), (-m["id"]).alias("i"))))
+    return rows.select(*columns, (-best["i"]).alias("nearest"), F.coalesce(best["o"], F.lit(0.0)).alias("overlap"), "matches")
+
+
+def _features(df: DataFrame) -> DataFrame:
+    """(row, feature) of ``df(row, hashes)``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw = [np.frombuffer(h, np.int64) for h in batch.column(1).to_pylist()]
+            yield pa.record_batch([batch.column(0).take(pa.array(np.repeat(np.arange(len(raw)), [len(x) for x in raw]))), pa.array(np.concatenate(raw) if raw else np.zeros(0, np.int64))], names=["row", "feature"])
+
+    return df.mapInArrow(run, "row long, feature long")
+
+
+def _overlaps(beyond: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, raw, m, other = (batch.column(i).to_pylist() for i in range(2, 6))
+            score = np.array([overlap(*_split(a, x), *_split(b, y)) for x, a, y, b in zip(n, raw, m, other)])
+            kept = np.flatnonzero(score > beyond)
+            yield pa.record_batch([batch.column(0).take(pa.array(kept)), batch.column(1).take(pa.array(kept)), pa.array(score[kept])], names=["row", "id", "overlap"])
+
+    return run
 
 
 def _split(raw: bytes, features: int) -> tuple[np.ndarray, np.ndarray]:
@@ -268,45 +302,45 @@ def _split(raw: bytes, features: int) -> tuple[np.ndarray, np.ndarray]:
     return filters, n
 
 
-def _nearest(held, beyond: float):
-    """Adds to each row's matches those of the held references, and keeps the better of what it
-    has and the best of them."""
+def _digests(ranks: np.ndarray, held=None, beyond: float = BEYOND):
+    """Digests of texts; with references, also those whose digests overlap them. Only references that share a
+    feature with a text are compared with it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = [(i, *_split(raw, features)) for i, features, raw in held.value]
-        # all filters of all references side by side, to be compared in one step
-        ids = np.array([i for i, *_ in known], np.int64)
-        bits = np.concatenate([f for _, f, _ in known]) if known else np.zeros((0, BITS // 8), np.uint8)
-        n = np.concatenate([n for *_, n in known]) if known else np.zeros(0, np.int32)
-        sums = np.array([n.sum() for *_, n in known])
-        lengths = np.array([len(f) for _, f, _ in known])
-        pops = _popcount(bits) if len(bits) else np.zeros(0, np.int32)
-        words = bits.view(np.uint64)
-        starts = np.concatenate(([0], np.cumsum(lengths)[:-1])).astype(int)
+        known = held.value if held is not None else []
+        split = [_split(raw, n) for _, n, raw, _ in known]
+        sizes = [len(h) // 8 for *_, h in known]
+        every = np.concatenate([np.frombuffer(h, np.uint64) for *_, h in known]) if known else np.zeros(0, np.uint64)
+        order = np.argsort(every, kind="stable")
+        every, owner = every[order], np.repeat(np.arange(len(known)), sizes)[order]
         kind = pa.list_(pa.struct([("id", pa.int64()), ("overlap", pa.float64())]))
         for batch in batches:
-            nearest, score = batch.column(4).to_pylist(), batch.column(5).to_numpy(zero_copy_only=False).copy()
-            matches = batch.column(6).to_pylist()
-            for row, (raw, features) in enumerate(zip(batch.column(3).to_pylist(), batch.column(1).to_pylist())):
-                if not raw or not known:
-                    continue
-                a, na = _split(raw, features)
-                ca = _popcount(a)
-                common = np.stack([np.bitwise_count(x & words).sum(1, dtype=np.int32) for x in a.view(np.uint64)])
-                s = _scores(common, ca[:, None], pops)
-                if not s.any():
+            data, offsets = utf8(batch.column(1))
+            out, numbers, filters, hashes, matches = [], [], [], [], []
+            for first, last in blocks(np.diff(offsets), BLOCK):
+                found = block_digests(data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first], ranks)
+                for bits, n, _ in found:
+                    out.append(bits.tobytes())
+                    numbers.append(int(n.sum()))
+                    filters.append(len(bits))
+                if held is None:
+                    hashes += [own.tobytes() for *_, own in found]
                     continue
-                rows_best = (np.maximum.reduceat(s, starts, axis=1) * na[:, None]).sum(axis=0) / na.sum()
-                filters_best = np.add.reduceat(s.max(axis=0) * n, starts) / sums
-                shorter = (len(a) < lengths) | ((len(a) == lengths) & (features <= sums))
-                values = np.where(shorter, rows_best, filters_best)
-                over = np.flatnonzero(values > beyond)
-                if len(over):
-                    own = [(m["id"], m["overlap"]) for m in matches[row]] + list(zip(ids[over].tolist(), values[over].tolist()))
-                    matches[row] = [{"id": i, "overlap": v} for i, v in sorted(own)]
-                best = values.max()
-                if best > score[row] or (best == score[row] > 0 and ids[values == best].min() < (nearest[row] or 0)):
-                    nearest[row], score[row] = int(ids[values == best].min()), best
-            yield pa.record_batch([*batch.columns[:4], pa.array(nearest, pa.int64()), pa.array(score), pa.array(matches, kind)], names=batch.schema.names)
+                flat = np.concatenate([own for *_, own in found]) if found else every[:0]
+                text = np.repeat(np.arange(len(found)), [len(own) for *_, own in found])
+                low, high = np.searchsorted(every, flat), np.searchsorted(every, flat, side="right")
+                hit = np.flatnonzero(high > low)
+                count = (high - low)[hit]
+                refs = owner[np.repeat(low[hit], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)]
+                rows: list[list] = [[] for _ in found]
+                for i, j in np.unique(np.stack([np.repeat(text[hit], count), refs], axis=1), axis=0).tolist():
+                    value = overlap(*found[i][:2], *split[j])
+                    if value > beyond:
+                        rows[i].append({"id": known[j][0], "overlap": value})
+                matches += rows
+                hashes += [b""] * len(found)
+            columns = [batch.column(0), pa.array(numbers, pa.int32()), pa.array(filters, pa.int32()), pa.array(out, pa.binary()), pa.array(hashes, pa.binary())]
+            names = ["doc_id", "features", "filters", "digest", "hashes"]
+            yield pa.record_batch([*columns, *([pa.array(matches, kind)] if held is not None else [])], names=[*names, *(["matches"] if held is not None else [])])
 
     return run
