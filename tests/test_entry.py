@@ -40,3 +40,14 @@ def test_import_without_the_training_data_operators(tmp_path):
     shutil.copytree(f"{root}/millrace", tmp_path / "millrace", ignore=shutil.ignore_patterns("llm", "__pycache__"))
     code = "import __spark_entry__ as e; assert len(e.queries()) > 30 and not any(n.startswith('op') or n == 'pipeline' for n in e.queries())"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=os.environ | {"PYTHONPATH": str(tmp_path)}, check=True, timeout=120)
+
+
+@pytest.mark.skipif(not os.path.exists(f"{os.path.dirname(driver.__file__)}/corpus_pipeline.py"), reason="the training-data operators aren't here")
+@pytest.mark.parametrize("lacking", ["xxhash", "zstandard", "regex", "millrace.llm.mixing"])
+def test_import_where_a_package_of_theirs_is_missing(tmp_path, lacking):
+    root = os.path.dirname(driver.__file__)
+    for name in ("__spark_entry__.py", "corpus_pipeline.py"):
+        shutil.copy(f"{root}/{name}", tmp_path)
+    shutil.copytree(f"{root}/millrace", tmp_path / "millrace", ignore=shutil.ignore_patterns("__pycache__"))
+    code = f"import sys; sys.modules[{lacking!r}] = None; import __spark_entry__ as e; assert len(e.queries()) > 30 and not any(n.startswith('op') or n == 'pipeline' for n in e.queries())"
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=os.environ | {"PYTHONPATH": str(tmp_path)}, check=True, timeout=120)
