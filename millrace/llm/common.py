@@ -45,9 +45,24 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return out
 
 
+def bucketed(df: DataFrame, label: str, column: str) -> DataFrame:
+    """``materialise`` with rows in buckets by a column, so that joins on it don't shuffle the table again. ``df`` should be
+    partitioned by the column, in as many partitions as a shuffle has, for few files."""
+    spark = df.sparkSession
+    name = f"millrace_{label.replace('-', '_')}_{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/millrace/{name}"
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.format("parquet").bucketBy(n, column).option("path", path).saveAsTable(name)
+    out = spark.table(name)
+    out._millrace_path, out._millrace_table = path, name
+    return out
+
+
 def discard(*tables: DataFrame) -> None:
-    """Removes tables that ``materialise`` wrote and that nothing reads any more."""
+    """Removes tables that ``materialise`` or ``bucketed`` wrote and that nothing reads any more."""
     for df in tables:
+        if hasattr(df, "_millrace_table"):
+            df.sparkSession.sql(f"DROP TABLE IF EXISTS {df._millrace_table}")
         path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._millrace_path)
         path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
