@@ -26,6 +26,8 @@ UNIT = 1_000_000
 #: Shares of ordinary and of random strings whose characters follow no pattern. They bound what one pair can weigh, so that
 #: a few rare pairs of a foreign word don't make it a secret.
 LAPSE = (0.05, 0.02)
+#: What a part beyond a joint has to add to a stretch.
+EDGE = 4 * UNIT
 #: What a character of no run subtracts: no stretch of a text of 2 GB gains as much.
 _WALL = 1 << 44
 #: Bytes of text that are scored in one go.
@@ -131,8 +133,8 @@ class Model:
     def stretches(self, run: str) -> list[tuple[int, int, int]]:
         """(start, end, score) of the random stretches of a run of the alphabet, in order.
 
-        The stretch with the greatest sum of pair ratios is widened to the next joint on either side, joints themselves
-        excluded. It counts if its sum, with the ratio of its length, is more than ``least``. What is left of it
+        The stretch with the greatest sum of pair ratios, without ends beyond a joint that add less than EDGE, is widened to the next
+        joint on either side, joints themselves excluded. It counts if its sum, with the ratio of its length, is more than ``least``. What is left of it
         and right of it is searched alike. Of equal sums the first is taken.
         """
         codes = _CODES[np.frombuffer(run.encode(), np.uint8)]
@@ -150,6 +152,15 @@ class Model:
             if value <= floor:
                 continue
             start, end = lo + int(np.flatnonzero(sums[lo : lo + end + 1] == low[end])[0]), lo + end + 1
+            while True:  # what lies beyond a joint and adds little belongs to another word
+                joints = [i for i in range(start, end) if run[i] in _JOINTS]
+                if joints and joints[-1] > start and sums[end] - sums[joints[-1]] < EDGE:
+                    end = joints[-1]
+                elif joints and joints[0] < end - 1 and sums[joints[0] + 1] - sums[start] < EDGE:
+                    start = joints[0] + 1
+                else:
+                    break
+            value = int(sums[end] - sums[start])
             while start > lo and run[start - 1] not in _JOINTS:
                 start -= 1
             while end < hi and run[end] not in _JOINTS:

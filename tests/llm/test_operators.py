@@ -249,6 +249,16 @@ def all_stretches(text):
         if best is None or best[0] <= model.floor:
             return
         value, i, j = best
+        gain = lambda x, y: sum(int(model.ratio[index[run[k - 1]] if k else len(index), index[run[k]]]) for k in range(x, y))
+        while True:
+            joints = [k for k in range(i, j) if run[k] in "+/_=-"]
+            if joints and joints[-1] > i and gain(joints[-1], j) < 4_000_000:
+                j = joints[-1]
+            elif joints and joints[0] < j - 1 and gain(i, joints[0] + 1) < 4_000_000:
+                i = joints[0] + 1
+            else:
+                break
+        value = gain(i, j)
         while i > lo and run[i - 1] not in "+/_=-":
             i -= 1
         while j < hi and run[j] not in "+/_=-":
