@@ -145,7 +145,7 @@ class Chain:
 
 def train(sample: list[tuple[str, int]], steps: int = 40, ridge: float = 1e-4, lasso: float = 4e-3) -> dict:
     """A field fitted to labelled documents: hashed emission weights, transitions, and the
-    weights that turn the expected number of toxic tokens into a document score. Emission weights
+    weights that turn the marginals of all tokens into a document score. Emission weights
     are fitted with both penalties, so that most are zero; these are left out, which changes nothing.
 
     With no toxic or no clean document nothing can be learned, and every score is 0.
@@ -214,8 +214,8 @@ def train(sample: list[tuple[str, int]], steps: int = 40, ridge: float = 1e-4, l
 
 
 def evidence(total: float, n: int) -> list[float]:
-    """What a document score rests on: the expected number of toxic tokens, which is the sum of all
-    marginals, and its share of the tokens."""
+    """What a document score rests on: the sum of all marginals, each weighted by itself, so that the slight doubts of a
+    long text don't add up, and its share of the tokens."""
     return [np.log1p(total), np.log1p(1000 * total / max(n, 1))]
 
 
@@ -235,7 +235,7 @@ class Tagger:
         return value
 
     def __call__(self, texts: list[str]) -> list[tuple[list[tuple[int, int, float]], float, int]]:
-        """For each text, the (start, end, probability) of its toxic tokens in characters, the sum of the marginals of all its
+        """For each text, the (start, end, probability) of its toxic tokens in characters, the sum of the squared marginals of all its
         tokens, and their number. A token is listed if its marginal is at least one half."""
         found = [tokens(t) for t in texts]
         sizes = np.array([len(x) for x, _ in found])
@@ -247,7 +247,7 @@ class Tagger:
         first = np.zeros(len(scores), bool)
         first[(ends - sizes)[sizes > 0]] = True
         p, _ = self.chain.marginals(scores, first)
-        totals = np.diff(np.concatenate(([0.0], np.cumsum(p)))[np.concatenate(([0], ends))])
+        totals = np.diff(np.concatenate(([0.0], np.cumsum(p * p)))[np.concatenate(([0], ends))])
         hot = np.flatnonzero(p >= 0.5)
         out: list[tuple[list, float, int]] = [([], float(t), int(n)) for t, n in zip(totals, sizes)]
         owner = np.searchsorted(ends, hot, side="right")
@@ -303,7 +303,7 @@ def score_toxicity(docs: DataFrame, fitted: dict, least: float = 0.5) -> DataFra
 
     Each token's probability of being toxic is its forward-backward marginal over the
     whole text; ``spans`` holds start and end (characters from 0) of the tokens with at least
-    one half. The document score rests on the sum of the marginals of all tokens, which is the expected number of toxic ones,
+    one half. The document score rests on the sum of the marginals of all tokens, each weighted by itself,
     and on its share of the tokens; ``toxic`` says whether it is at least ``least``, so a score of just that is toxic.
 
     Null and empty texts, and those without tokens, score 0; null and repeated ids pass through, each row on its own;

@@ -385,7 +385,7 @@ def test_toxicity_by_brute_force(spark, labelled):
             b = (move[0][0] * b[0] + move[0][1] * x * b[1], move[1][0] * b[0] + move[1][1] * x * b[1])
             right.append((b[0] / sum(b), b[1] / sum(b)))
         p = [a[1] * b[1] / (a[0] * b[0] + a[1] * b[1]) for a, b in zip(left, reversed(right))]
-        total = sum(p)
+        total = sum(v * v for v in p)
         z = fitted["doc"] @ np.array([math.log1p(total), math.log1p(1000 * total / len(p)), 1.0])
         return 1 / (1 + math.exp(-z)), [(s, t) for (s, t, _), v in zip(words, p) if v >= 0.5]
 
