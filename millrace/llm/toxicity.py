@@ -268,7 +268,7 @@ def fit(documents: DataFrame, labels: DataFrame, most: int = TRAINING_DOCS) -> d
 def _scores(fitted: dict, tag: Tagger, texts: list[str]) -> Iterator[tuple[float, list]]:
     w = fitted["doc"]
     for found, total, n in tag(texts):
-        value = 1 / (1 + np.exp(-np.clip(np.dot([*evidence(total, n), 1.0], w), -30, 30))) if n else 0.0
+        value = 1 / (1 + np.exp(-np.clip(np.dot([*evidence(total, n), 1.0], w), -30, 30))) if n and tag.w else 0.0
         yield float(value), found
 
 
@@ -306,7 +306,7 @@ def score_toxicity(docs: DataFrame, fitted: dict, least: float = 0.5) -> DataFra
     one half. The document score rests on the sum of the marginals of all tokens, each weighted by itself,
     and on its share of the tokens; ``toxic`` says whether it is at least ``least``, so a score of just that is toxic.
 
-    Null and empty texts, and those without tokens, score 0; null and repeated ids pass through, each row on its own;
+    Null and empty texts, those without tokens, and all texts under a field without weights score 0; null and repeated ids pass through, each row on its own;
     an empty table gives an empty one; other columns are not read.
     """
     tag = tag_column(docs.sparkSession, fitted)
