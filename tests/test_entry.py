@@ -10,6 +10,7 @@ import pytest
 
 import __spark_entry__ as driver
 from millrace import queries as engine
+from millrace import queries_more as engine_more
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -29,6 +30,23 @@ def test_queries_equal_their_sql(spark, name):
     assert plain(got) == plain(want)
 
 
+@pytest.mark.parametrize(
+    "first, second, score",
+    [
+        ([1.0, 0.0], [0.0012355 - 2e-10, (1 - (0.0012355 - 2e-10) ** 2) ** 0.5], 0.001235),  # below the half of the sixth place, on it once it is rounded at nine
+        ([1.0] * 256, [1.0] * 129 + [-1.0] * 127, 0.007813),  # 2 / 256, the half itself
+        ([1.0] * 256, [1.0] * 127 + [-1.0] * 129, -0.007813),
+    ],
+)
+def test_index_scores_are_rounded_once(spark, tmp_path, first, second, score):
+    spark.createDataFrame([(0, first), (1, second)], "vec_id long, embedding array<double>").write.parquet(f"file://{tmp_path}/embeddings.parquet")
+    got = engine_more.index_search(spark, f"file://{tmp_path}").toArrow().to_pylist()
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    assert plain(got) == plain(con.sql(engine_more.ORACLES["index_search"]).to_arrow_table().to_pylist())
+    assert {r["score"] for r in got if r["query_id"] != r["doc_id"]} == {score}
+
+
 def test_entry(spark):
     assert driver.entry(spark).count() > 0
     assert set(driver.oracle_sql()) <= set(driver.queries())
