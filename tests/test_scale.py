@@ -4,10 +4,13 @@ import time
 
 import numpy as np
 import pytest
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions.vector import normalize
+from millrace.operators import vectors as module
 from millrace.operators.matrix import nearest
+from millrace.operators.vectors import knn_exact, search_clusters
 
 
 def vectors_of(spark, x, name="doc_id"):
@@ -48,3 +51,34 @@ def test_nearest_is_exact(scale):
         assert np.array_equal(at, np.argmax(want, axis=1)) and not np.isin([7, 300], at).any()
     assert np.allclose(value, want.max(axis=1), rtol=1e-12, atol=1e-11)
     assert len(nearest(x[:0], c, 12)[0]) == 0
+
+
+def found_by(rows):
+    return sorted((r.query_id, r["rank"], r.doc_id, r.score) for r in rows.collect())
+
+
+def test_many_queries_do_not_pass_the_driver(spark, monkeypatch):
+    r = np.random.default_rng(6)
+    x = r.normal(size=(400, 8))
+    x[50:60] = x[3]  # equal scores go by the least id
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    vectors, queries = vectors_of(spark, x), vectors_of(spark, x[:300], "query_id")
+    cents = x[::80]
+    clusters = vectors.join(spark.createDataFrame([(i, int(np.argmax(np.round(v @ cents.T, 12)))) for i, v in enumerate(x)], "doc_id long, cluster_id int"), "doc_id")
+    centroids = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(cents)], "cluster_id int, centroid array<double>")
+    few = found_by(knn_exact(vectors, queries, 4)), found_by(search_clusters(clusters, centroids, queries, 4, 2))
+    score = np.round(x[:300] @ x.T, 9)
+    want = np.argsort(-score, axis=1, kind="stable")[:, :4]
+    assert few[0] == sorted((i, n + 1, int(d), score[i, d]) for i in range(300) for n, d in enumerate(want[i]))
+    seen, plain = [], DataFrame.toArrow
+
+    def counted(self):
+        out = plain(self)
+        seen.append(out.num_rows)
+        return out
+
+    monkeypatch.setattr(DataFrame, "toArrow", counted)
+    monkeypatch.setattr(module, "QUERY_BYTES", 2000)
+    many = knn_exact(vectors, queries, 4), search_clusters(clusters, centroids, queries, 4, 2)
+    assert max(seen, default=0) <= len(cents)  # centroids only; before, all queries and the numbers of their clusters
+    assert (found_by(many[0]), found_by(many[1])) == few
