@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from millrace.functions.vector import normalize
 from millrace.operators import vectors as module
 from millrace.operators.matrix import nearest
-from millrace.operators.vectors import knn_exact, search_clusters
+from millrace.operators.vectors import _Best, knn_exact, search_clusters
 
 
 def vectors_of(spark, x, name="doc_id"):
@@ -82,3 +82,29 @@ def test_many_queries_do_not_pass_the_driver(spark, monkeypatch):
     many = knn_exact(vectors, queries, 4), search_clusters(clusters, centroids, queries, 4, 2)
     assert max(seen, default=0) <= len(cents)  # centroids only; before, all queries and the numbers of their clusters
     assert (found_by(many[0]), found_by(many[1])) == few
+
+
+def test_best_is_exact_and_quicker_than_all_products():
+    r = np.random.default_rng(7)
+    x = r.normal(size=(6000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x[100:180] = x[5]  # more equal ones than are kept
+    q, docs = x[:1500], r.permutation(len(x))
+    began = time.time()
+    found = _Best(len(q), 10)
+    for s in range(0, len(x), 2500):
+        found.add(np.arange(len(q)), q, x[s : s + 2500], docs[s : s + 2500])
+    short = time.time() - began
+    began = time.time()
+    key = np.round(q @ x.T, 9)
+    order = np.lexsort((np.broadcast_to(docs, key.shape), -key), axis=1)[:, :10]
+    assert short < time.time() - began
+    assert np.array_equal(found.doc, docs[order]) and np.array_equal(found.key, np.take_along_axis(key, order, 1))
+    assert np.allclose(found.product, found.key, atol=1e-9)
+
+
+def test_best_beyond_single_precision():
+    q = np.array([[1e35, 0.0], [np.nan, 1.0]])
+    found = _Best(2, 2)
+    found.add(np.arange(2), q, np.array([[1.0, 0.0], [2.0, 1.0], [0.0, 0.0]]), np.arange(3))
+    assert found.doc[0].tolist() == [1, 0] and found.batch(np.arange(2)).column(0).to_pylist() == [0, 0]
