@@ -3,6 +3,7 @@
 import time
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -108,3 +109,24 @@ def test_best_beyond_single_precision():
     found = _Best(2, 2)
     found.add(np.arange(2), q, np.array([[1.0, 0.0], [2.0, 1.0], [0.0, 0.0]]), np.arange(3))
     assert found.doc[0].tolist() == [1, 0] and found.batch(np.arange(2)).column(0).to_pylist() == [0, 0]
+
+
+@pytest.mark.parametrize("n", [200, 1600])
+def test_a_task_holds_a_bounded_part_of_the_queries(spark, monkeypatch, n):
+    monkeypatch.setattr(module, "QUERY_BYTES", 0)
+    monkeypatch.setattr(module, "HELD_BYTES", 32 * 8 * 4)
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(size)
+    spark.conf.set(size, 16)
+    try:
+        x = np.random.default_rng(8).normal(size=(n, 4))
+
+        def held(ids, q):
+            at = np.full(len(ids), len(ids))
+            return pa.record_batch([pa.array(ids), pa.array(at), pa.array(q[:, 0]), pa.array(q[:, 0])], names=["query_id", "doc_id", "key", "score"])
+
+        rows = module._dealt(vectors_of(spark, x, "query_id"), 8 * x.size, held).collect()
+        assert sorted(y.query_id for y in rows) == list(range(n))
+        assert max(y.doc_id for y in rows) <= 32 + 16  # of so many queries at a time; before, of all up to 64 MB in every task
+    finally:
+        spark.conf.set(size, before)
