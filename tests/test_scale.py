@@ -1,6 +1,7 @@
 """Costs that must not grow faster than their input, and kernels that give the exact result by a shorter way."""
 
 import time
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -130,3 +131,16 @@ def test_a_task_holds_a_bounded_part_of_the_queries(spark, monkeypatch, n):
         assert max(y.doc_id for y in rows) <= 32 + 16  # of so many queries at a time; before, of all up to 64 MB in every task
     finally:
         spark.conf.set(size, before)
+
+
+def test_products_of_clusters_are_formed_in_blocks():
+    # as a task of a probed search does: many queries of one large cluster
+    r = np.random.default_rng(9)
+    q, x = r.normal(size=(3000, 16)), r.normal(size=(4000, 16))
+    found = _Best(len(q), 5)
+    tracemalloc.start()
+    found.add(np.arange(len(q)), q, x, np.arange(len(x)))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 24 << 20  # all products take 96 MB, a block of PRODUCT with its copies as much
+    assert np.array_equal(found.doc[:, 0], np.argmax(q @ x.T, axis=1))
