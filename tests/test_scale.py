@@ -13,6 +13,8 @@ from millrace.functions.vector import normalize
 from millrace.operators import vectors as module
 from millrace.operators.matrix import nearest
 from millrace.operators.vectors import _Best, knn_exact, search_clusters
+from millrace.plans.index import build_index
+from millrace.streaming.incremental import append
 
 
 def vectors_of(spark, x, name="doc_id"):
@@ -144,3 +146,25 @@ def test_products_of_clusters_are_formed_in_blocks():
     tracemalloc.stop()
     assert most < 24 << 20  # all products take 96 MB, a block of PRODUCT with its copies as much
     assert np.array_equal(found.doc[:, 0], np.argmax(q @ x.T, axis=1))
+
+
+def test_an_append_embeds_each_chunk_once(spark, tmp_path):
+    embedded = spark.sparkContext.accumulator(0)
+
+    def embed(rows):
+        def run(batches):
+            for batch in batches:
+                embedded.add(batch.num_rows)
+                v = [[1.0, float(len(t))] for t in batch.column(1).to_pylist()]
+                yield pa.record_batch([batch.column(0), pa.array(v, pa.list_(pa.float64()))], names=["id", "vector"])
+
+        return rows.select(F.col("id").cast("long"), "text").mapInArrow(run, "id long, vector array<double>")
+
+    def corpus(first):
+        return spark.createDataFrame([(f"f{i}", "word " * (10 + i)) for i in range(first, first + 40)], "uri string, content string").repartition(3)
+
+    path = f"file://{tmp_path}/index"
+    build_index(corpus(0), path, embed, 3, 1)
+    embedded.value = 0
+    assert append(path, corpus(100), embed) == 40
+    assert embedded.value == 40  # before, 80
